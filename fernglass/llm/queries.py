@@ -8,15 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.llm import neardup
+from fernglass.llm.handwritten import not_handwritten
+from fernglass.llm.history import PrefixForest
 from fernglass.sources.tables import table
 
 FINDING_TEXT = ("title", "description", "code_sample")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(table(spark, sf_dir, "files", "file_id", "path", "content")).select(F.col("id").alias("file_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicate_groups(table(spark, sf_dir, "findings", "finding_id", *FINDING_TEXT), "finding_id", FINDING_TEXT, threshold=0.7)
     return neardup.group_pairs(groups).toDF("finding_a", "finding_b")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("finding_json", "title string, description string, code_sample string")
+    entries = table(spark, sf_dir, "baseline", "entry_id", "batch_no", "fingerprint", "finding_json").select("entry_id", "batch_no", "fingerprint", parsed.alias("j"))
+    entries = entries.select("entry_id", "batch_no", "fingerprint", "j.title", "j.description", "j.code_sample")
+    new = F.coalesce(F.col("batch_no") >= 1, F.lit(False))
+    forest = PrefixForest("entry_id", FINDING_TEXT, "fingerprint", threshold=0.7).add(entries.where(~new))
+    found, _ = forest.match(entries.where(new))
+    return found.select("first_id", "entry_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}

@@ -105,7 +105,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], chunk: int, done: int = 0) -
     """Candidate pairs of rows (key, node) that come sorted by both, a partition holding whole keys.
 
     Within a run of equal keys, distinct nodes are ranked by their order; each node b is paired with the nodes a of rank
-    done to done + chunk - 1 before it. upto is the last such a where b has further ones behind it, else NULL. At most
+    done to done + chunk - 1 before it. A third column, if there is one, tells which nodes are wanted as b. upto is the last such a where b has further ones behind it, else NULL. At most
     chunk nodes of a run are held, however long it is.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("upto", pa.int64())])
@@ -116,6 +116,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], chunk: int, done: int = 0) -
         if not batch.num_rows:
             continue
         k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        wanted = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else np.ones(len(k), bool)
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         ends = np.r_[starts[1:], len(k)]
         # runs of one row can't pair, but the first may go on and the last may
@@ -124,11 +125,11 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], chunk: int, done: int = 0) -
         for s, e in zip(starts[keep].tolist(), ends[keep].tolist()):
             if s or key != k[0]:
                 head, rank, last = [], 0, None
-            for x in n[s:e].tolist():
+            for x, want in zip(n[s:e].tolist(), wanted[s:e].tolist()):
                 if x == last:
                     continue
                 last = x
-                if head:
+                if head and want:
                     left.extend(head)
                     right.extend([x] * len(head))
                     upto.extend([head[-1] if rank > done + chunk else None] * len(head))
