@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.llm import neardup
+from fernglass.llm.credentials import find_credentials
 from fernglass.llm.handwritten import not_handwritten
 from fernglass.llm.history import PrefixForest
 from fernglass.sources.tables import table
@@ -19,6 +20,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "files", "file_id", "path", "content")).select(F.col("id").alias("file_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = lambda path: F.lower(F.regexp_extract(path, r"^(?:\.?/)*([^/]+)", 1))
+    files = table(spark, sf_dir, "files", "file_id", "path", "content").select(F.lit("files").alias("tbl"), F.col("file_id").alias("row_id"), owner("path").alias("owner"), F.col("content").alias("text"))
+    findings = table(spark, sf_dir, "findings", "finding_id", "file", "code_sample").select(F.lit("findings"), "finding_id", owner("file"), "code_sample")
+    return find_credentials(files.union(findings)).select("tbl", "row_id", F.explode("lines").alias("line_no"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicate_groups(table(spark, sf_dir, "findings", "finding_id", *FINDING_TEXT), "finding_id", FINDING_TEXT, threshold=0.7)
     return neardup.group_pairs(groups).toDF("finding_a", "finding_b")
@@ -34,5 +42,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "entry_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
