@@ -11,6 +11,8 @@ from fernglass.llm import neardup
 from fernglass.llm.credentials import find_credentials
 from fernglass.llm.handwritten import not_handwritten
 from fernglass.llm.history import PrefixForest
+from fernglass.llm.leaks import leaked_passages
+from fernglass.llm.repetition import repetition
 from fernglass.sources.tables import table
 
 FINDING_TEXT = ("title", "description", "code_sample")
@@ -42,5 +44,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "entry_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return judged.where("probability >= 0.05 AND share >= 0.3").select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
