@@ -13,6 +13,7 @@ from fernglass.llm.handwritten import not_handwritten
 from fernglass.llm.history import PrefixForest
 from fernglass.llm.leaks import leaked_passages
 from fernglass.llm.repetition import repetition
+from fernglass.llm.representative import best_findings
 from fernglass.sources.tables import table
 
 FINDING_TEXT = ("title", "description", "code_sample")
@@ -22,6 +23,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "files", "file_id", "path", "content")).select(F.col("id").alias("file_id"))
 
 
+PLACE_COLUMNS = ("finding_id", "file", "rule_id", "start_line", "end_line", "agent", "verified", "severity", "confidence", "created_at", "description", "code_sample", "cwe", "owasp", "verifier_comment")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = best_findings(table(spark, sf_dir, "findings", *PLACE_COLUMNS), table(spark, sf_dir, "agents", "agent", "trust"))
+    return best.where("n_best = 6").select("finding_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = lambda path: F.lower(F.regexp_extract(path, r"^(?:\.?/)*([^/]+)", 1))
     files = table(spark, sf_dir, "files", "file_id", "path", "content").select(F.lit("files").alias("tbl"), F.col("file_id").alias("row_id"), owner("path").alias("owner"), F.col("content").alias("text"))
@@ -53,5 +62,21 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("probability >= 0.05 AND share >= 0.3").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p10_found": p10_found}
+SQL: dict[str, str] = {
+    "p4_found": r"""
+WITH r AS (
+  SELECT finding_id, lower(trim(rule_id)) AS rule, start_line AS s, end_line AS e,
+         regexp_replace(regexp_replace(regexp_replace(trim(file), '[\\\\/]+', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '') AS f,
+         CASE WHEN verified THEN 2 WHEN NOT verified THEN 1 ELSE 0 END AS q1,
+         CASE lower(trim(severity)) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END AS q2,
+         CASE lower(trim(confidence)) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS q3,
+         coalesce((SELECT max(trust) FROM agents a WHERE lower(trim(a.agent)) = lower(trim(findings.agent))), -1000000) AS q4,
+         coalesce(created_at, TIMESTAMP '0001-01-01') AS q5,
+         CAST(coalesce(trim(description), '') <> '' AS INT) + CAST(coalesce(trim(code_sample), '') <> '' AS INT) + CAST(coalesce(trim(cwe), '') <> '' AS INT)
+           + CAST(coalesce(trim(owasp), '') <> '' AS INT) + CAST(coalesce(trim(verifier_comment), '') <> '' AS INT) AS q6
+  FROM findings WHERE file IS NOT NULL AND rule_id IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL),
+m AS (SELECT f, rule, s, e, count(*) AS n, max(q1) AS m1, max(q2) AS m2, max(q3) AS m3, max(q4) AS m4, max(q5) AS m5, max(q6) AS m6 FROM r GROUP BY f, rule, s, e HAVING count(*) > 1)
+SELECT min(finding_id) AS finding_id FROM r JOIN m USING (f, rule, s, e)
+WHERE q1 = m1 AND q2 = m2 AND q3 = m3 AND q4 = m4 AND q5 = m5 AND q6 = m6 GROUP BY f, rule, s, e""",
+}
