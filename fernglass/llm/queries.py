@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,14 @@ from fernglass.llm.credentials import find_credentials
 from fernglass.llm.handwritten import not_handwritten
 from fernglass.llm.history import PrefixForest
 from fernglass.llm.leaks import leaked_passages
+from fernglass.llm.mixing import mixture
+from fernglass.llm.neighbours import most_similar
 from fernglass.llm.repetition import repetition
 from fernglass.llm.representative import best_findings
 from fernglass.sources.tables import table
 
+#: The vocabulary file that problem 9 counts tokens with.
+VOCABULARY = os.environ.get("FERNGLASS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 FINDING_TEXT = ("title", "description", "code_sample")
 
 
@@ -43,6 +48,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_pairs(groups).toDF("finding_a", "finding_b")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = most_similar(table(spark, sf_dir, "embedding_cache", "vec_id", "provider", "model", "dim", "vec"), k=10, least=0.85)
+    return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = F.from_json("finding_json", "title string, description string, code_sample string")
     entries = table(spark, sf_dir, "baseline", "entry_id", "batch_no", "fingerprint", "finding_json").select("entry_id", "batch_no", "fingerprint", parsed.alias("j"))
@@ -57,12 +67,24 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"), VOCABULARY)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition(table(spark, sf_dir, "documents", "doc_id", "text"))
     return judged.where("probability >= 0.05 AND share >= 0.3").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p4_found": r"""
 WITH r AS (
