@@ -15,6 +15,7 @@ from fernglass.llm.history import PrefixForest
 from fernglass.llm.leaks import leaked_passages
 from fernglass.llm.mixing import mixture
 from fernglass.llm.neighbours import most_similar
+from fernglass.llm.parsing import invalid_rates, syntax_check
 from fernglass.llm.repetition import repetition
 from fernglass.llm.representative import best_findings
 from fernglass.sources.tables import table
@@ -63,6 +64,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "entry_id")
 
 
+def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax_check(table(spark, sf_dir, "file_asts", "file_id", "path"), table(spark, sf_dir, "files", "file_id", "repo", "content"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _syntax(spark, sf_dir).where("edits > 0").select("file_id").distinct()
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(_syntax(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
@@ -84,7 +97,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("probability >= 0.05 AND share >= 0.3").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p4_found": r"""
 WITH r AS (
