@@ -1,0 +1 @@
+"""Relational, window, graph, retrieval and sequential operators on DataFrames."""

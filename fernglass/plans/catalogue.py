@@ -2,9 +2,266 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fernglass.functions import findings as V
+from fernglass.functions import text as T
+from fernglass.operators import codegraph, dedup, evaluate, graph, joins, retrieval, sequential, windows
+from fernglass.sources import sinks
+from fernglass.sources.tables import table
+from fernglass.streaming.windows import usage_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+#: Views that the SQL builds on.
+WITH = {
+    "v": """v AS (SELECT finding_id AS ordinal, run_idx, coalesce(id,'') AS id, coalesce(rule_id,'') AS rule_id, coalesce(title,'') AS title, coalesce(description,'') AS description,
+  coalesce(severity,'') AS severity, coalesce(confidence,'') AS confidence, coalesce(cwe,'') AS cwe, coalesce(file,'') AS file, start_line, end_line, coalesce(code_sample,'') AS code_sample, coalesce(agent,'') AS agent,
+  coalesce(verified,false) AS verified, coalesce(false_positive,false) AS false_positive, coalesce(score,0) AS score, coalesce(suppressed,false) AS suppressed, tags, trace, created_at FROM findings)""",
+    "r": """r AS (SELECT *, CASE lower(trim(severity)) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END AS sr,
+  CASE lower(trim(confidence)) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS cr FROM v)""",
+    "calls": """calls AS (SELECT event_id, ts, event_type AS stage, CASE user_id % 3 WHEN 0 THEN 'm-a' WHEN 1 THEN 'm-b' ELSE 'm-c' END AS model, CAST(floor(value * 10) AS BIGINT) AS tokens_in,
+  event_id % 500 AS tokens_out, event_id % 1000 AS latency_ms, event_type <> 'error' AS ok FROM events)""",
+    "edges": """edges AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) + 1 AS dst FROM part UNION ALL
+  SELECT p_partkey, (p_partkey * 13 + 5) % (SELECT count(*) FROM part) + 1 FROM part WHERE p_size <= 25)""",
+    "dag": "dag AS (SELECT DISTINCT src, dst FROM edges WHERE src < dst)",
+    "rec": """rec AS (SELECT file_id, arg_max({'path': path, 'imports': imports, 'symbols': symbols, 'calls': calls}, (coalesce(len(symbols),0) + coalesce(len(calls),0)) * 100000 + coalesce(len(imports),0)) AS x FROM file_asts GROUP BY file_id)""",
+    "sym": "sym AS (SELECT file_id, i - 1 AS ordinal, s.kind AS kind, s.name AS name, s.start_line AS start_line, s.end_line AS end_line FROM (SELECT file_id, unnest(x.symbols) AS s, unnest(range(1, len(x.symbols) + 1)) AS i FROM rec))",
+    "cal": "cal AS (SELECT file_id, i - 1 AS call_no, c.callee AS callee, c.line AS line FROM (SELECT file_id, unnest(x.calls) AS c, unnest(range(1, len(x.calls) + 1)) AS i FROM rec))",
+    "frag": """frag AS (SELECT l_orderkey * 10 + l_linenumber AS ordinal, l_suppkey AS chunk_id, l_partkey % 50 AS file_id, l_linenumber * 400 + CAST(l_quantity AS INT) * 8 AS start_line,
+  l_linenumber * 400 + CAST(l_quantity AS INT) * 8 + CAST(l_orderkey % 15 AS INT) AS end_line, l_linenumber AS priority, CAST(floor(l_extendedprice) AS BIGINT) % 900 + 1 AS tokens FROM lineitem)""",
+}
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def sq(x: str) -> str:
+    """SQL of text.squeeze."""
+    return f"trim(regexp_replace(replace({x}, chr(13), ''), '{SPACE}', ' ', 'g'))"
+
+
+def query(sql: str | None = None, views: str = "", recursive: bool = False):
+    """Registers a query, and its SQL behind the views it names."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            parts = [WITH[v] for v in views.split()]
+            SQL[f.__name__] = sql if not parts else f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {sql if not sql.lstrip().startswith(',') else sql}"
+        return f
+
+    return add
+
+
+def findings(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Normalised findings, only the columns needed."""
+    cols = cols or ("id", "run_idx", "rule_id", "title", "severity", "confidence", "file", "start_line", "end_line", "agent", "false_positive", "score", "suppressed")
+    return V.normalised(table(spark, d, "findings", "finding_id", *cols))
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events", "event_id", "ts", "event_type", "user_id", "value")
+    model = F.when(F.col("user_id") % 3 == 0, "m-a").when(F.col("user_id") % 3 == 1, "m-b").otherwise("m-c")
+    return e.select("event_id", "ts", F.col("event_type").alias("stage"), model.alias("model"), F.floor(F.col("value") * 10).cast("long").alias("tokens_in"), (F.col("event_id") % 500).alias("tokens_out"), (F.col("event_id") % 1000).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part", "p_partkey", "p_size")
+    n = F.lit(p.count())
+    one = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % n + 1).alias("dst"))
+    return one.union(p.where("p_size <= 25").select("p_partkey", (F.col("p_partkey") * 13 + 5) % n + 1))
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part", "p_partkey").toDF("node")
+
+
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int") * 8 + F.col("l_linenumber") * 400
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.col("l_suppkey").alias("chunk_id"), (F.col("l_partkey") % 50).alias("file_id"), q.alias("start_line"), (q + (F.col("l_orderkey") % 15).cast("int")).alias("end_line"), F.col("l_linenumber").alias("priority"), (F.floor("l_extendedprice").cast("long") % 900 + 1).alias("tokens"))
+
+
+USAGE = "count(*) AS calls, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(latency_ms) AS BIGINT) // count(*) AS avg_latency"
+
+
+def usage() -> list:
+    n = F.count("*")
+    return [n.alias("calls"), F.sum((~F.col("ok")).cast("long")).alias("errors"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.floor(F.sum("latency_ms") / n).alias("avg_latency")]
+
+
+@query(f"SELECT stage, model, {USAGE} FROM calls GROUP BY stage, model", "calls")
+def usage_by_stage_model(spark, d):
+    return calls(spark, d).groupBy("stage", "model").agg(*usage())
+
+
+@query(f"SELECT stage, model, {USAGE} FROM calls GROUP BY ROLLUP (stage, model)", "calls")
+def usage_totals(spark, d):
+    return calls(spark, d).rollup("stage", "model").agg(*usage())
+
+
+@query("SELECT stage, model, calls, coalesce(r.weight, 1.0) AS weight FROM (SELECT stage, model, count(*) AS calls FROM calls GROUP BY stage, model) LEFT JOIN (SELECT 'm-a' AS model, 3.0::DOUBLE AS weight) r USING (model)", "calls")
+def lookup_with_default(spark, d):
+    rates = spark.createDataFrame([("m-a", 3.0), ("default", 1.0)], "model string, weight double")
+    return joins.with_default(calls(spark, d).groupBy("stage", "model").agg(F.count("*").alias("calls")), rates, "model", ["weight"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, stage, model, count(*) AS calls, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(sum(tokens_in) AS BIGINT) AS tokens_in FROM calls GROUP BY ALL", "calls")
+def usage_windows_batch(spark, d):
+    return usage_windows(calls(spark, d))
+
+
+@query(SQL["usage_windows_batch"])
+def usage_windows_stream(spark, d):
+    """The same windows from a stream of the events' file, in complete mode, ended when all of it is read."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    model = F.when(F.col("user_id") % 3 == 0, "m-a").when(F.col("user_id") % 3 == 1, "m-b").otherwise("m-c")
+    log = raw.select("ts", F.col("event_type").alias("stage"), model.alias("model"), F.floor(F.col("value") * 10).cast("long").alias("tokens_in"), (F.col("event_type") != "error").alias("ok"))
+    name = "usage_" + next(tempfile._get_candidate_names()).replace("-", "_")
+    q = usage_windows(log.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT * EXCLUDE (rn) FROM (SELECT ordinal, agent, file, start_line, end_line, title, row_number() OVER (PARTITION BY agent, file, start_line, end_line, title ORDER BY ordinal) AS rn FROM v) WHERE rn = 1", "v")
+def dedup_first(spark, d):
+    keys = ["agent", "file", "start_line", "end_line", "title"]
+    return dedup.first_by(findings(spark, d, *keys), keys, [F.asc("ordinal")])
+
+
+@query("SELECT ordinal, agent, file, start_line, end_line, rule_id, place FROM (SELECT *, row_number() OVER (PARTITION BY agent, file, start_line, end_line, rule_id ORDER BY sr * 10 + cr DESC, ordinal) AS rn, min(ordinal) OVER (PARTITION BY agent, file, start_line, end_line, rule_id) AS place FROM r) WHERE rn = 1", "v r")
+def dedup_best_rank(spark, d):
+    keys = ["agent", "file", "start_line", "end_line", "rule_id"]
+    rank = V.severity_rank(F.col("severity")) * 10 + V.confidence_rank(F.col("confidence"))
+    return dedup.best_keeps_place(findings(spark, d, *keys, "severity", "confidence"), keys, rank).select("ordinal", *keys, "place")
+
+
+@query("""SELECT ordinal, votes, total, round(CASE WHEN score = 0 THEN 0.5 ELSE score END * votes / total, 9) AS voted_score FROM (
+SELECT *, count(DISTINCT run_idx) OVER w AS votes, row_number() OVER (w ORDER BY run_idx, ordinal) AS rn, (SELECT count(DISTINCT run_idx) FROM findings) AS total FROM v WINDOW w AS (PARTITION BY rule_id, agent, file, start_line // 5)) WHERE rn = 1 AND votes >= 2""".replace("count(DISTINCT run_idx) OVER w AS votes", "len(list_distinct(list(run_idx) OVER w)) AS votes").replace("OVER (w ORDER BY", "OVER (PARTITION BY rule_id, agent, file, start_line // 5 ORDER BY"), "v")
+def vote_n_of_k(spark, d):
+    f = findings(spark, d, "run_idx", "rule_id", "agent", "file", "start_line", "score")
+    voted = dedup.vote(f, 2, [F.col("rule_id"), F.col("agent"), F.col("file"), F.floor(F.col("start_line") / 5)])
+    return voted.select("ordinal", "votes", "total", F.round("voted_score", 9).alias("voted_score"))
+
+
+@query("SELECT 'severity' AS \"column\", severity AS value, count(*) AS n FROM v GROUP BY severity UNION ALL SELECT 'agent', agent, count(*) FROM v GROUP BY agent", "v")
+def histogram_severity_agent(spark, d):
+    return dedup.histograms(findings(spark, d, "severity", "agent"), "severity", "agent")
+
+
+@query("SELECT ordinal, sr, cr, score, file, start_line FROM r ORDER BY sr DESC, cr DESC, score DESC, false_positive, file, start_line, ordinal LIMIT 20", "v r")
+def canonical_order_top20(spark, d):
+    top = findings(spark, d).orderBy(*V.canonical_order()).limit(20)
+    return top.select("ordinal", V.severity_rank(F.col("severity")).alias("sr"), V.confidence_rank(F.col("confidence")).alias("cr"), "score", "file", "start_line")
+
+
+@query("SELECT ordinal, file, start_line FROM r WHERE NOT suppressed AND NOT false_positive AND sr >= 4 ORDER BY sr DESC, file, start_line, ordinal LIMIT 20", "v r")
+def hotspots_top20(spark, d):
+    f = findings(spark, d).where(~F.col("suppressed") & ~F.col("false_positive") & (V.severity_rank(F.col("severity")) >= 4))
+    return f.orderBy(V.severity_rank(F.col("severity")).desc(), "file", "start_line", "ordinal").limit(20).select("ordinal", "file", "start_line")
+
+
+FOLD = lambda x: f"lower({sq(x)})"
+HOP = lambda h: f"coalesce({FOLD(f'coalesce({h}.kind, {chr(39)}{chr(39)})')} || ':' || replace({FOLD(f'coalesce({h}.code, {chr(39)}{chr(39)})')}, ' ', ''), '')"
+
+
+@query(f""", k AS (SELECT *, CASE WHEN coalesce(len(trace), 0) = 0 THEN '' ELSE {HOP("src")} || '|' || {HOP("snk")} END AS t, replace({FOLD("code_sample")}, ' ', '') AS c,
+  CASE WHEN strlen({FOLD("description")}) >= 32 AND len(string_split({FOLD("description")}, ' ')) >= 4 THEN {FOLD("description")} ELSE '' END AS ds
+  FROM (SELECT *, coalesce(list_filter(trace, h -> lower(h.kind) = 'source')[1], trace[1]) AS src, coalesce(list_filter(trace, h -> lower(h.kind) = 'sink')[-1], trace[-1]) AS snk FROM r)),
+g AS (SELECT *, CASE WHEN t <> '' THEN 'trace' WHEN c <> '' THEN 'code_sample' WHEN ds <> '' THEN 'description' ELSE 'location' END AS basis,
+  CASE WHEN t <> '' THEN t WHEN c <> '' THEN c WHEN ds <> '' THEN ds ELSE file || '|' || start_line || '|' || end_line END AS sig, {FOLD("CASE WHEN trim(rule_id) = '' THEN title ELSE rule_id END")} AS hr, {FOLD("agent")} AS ha, {FOLD("title")} AS ht FROM k)
+SELECT first(ordinal ORDER BY sr DESC, cr DESC, score DESC, false_positive, file, start_line, ordinal) AS primary_id, basis, count(*) AS n, count(DISTINCT file) AS files FROM g GROUP BY hr, ha, ht, basis, sig""", "v r")
+def root_cause_groups(spark, d):
+    f = findings(spark, d, "rule_id", "title", "description", "severity", "confidence", "file", "start_line", "end_line", "code_sample", "agent", "false_positive", "score", "trace")
+    basis, sig = V.group_key(F.col("trace"), F.col("code_sample"), F.col("description"))
+    head = [T.fold(F.when(F.trim("rule_id") == "", F.col("title")).otherwise(F.col("rule_id"))), T.fold(F.col("agent")), T.fold(F.col("title"))]
+    order = F.struct(-V.severity_rank(F.col("severity")), -V.confidence_rank(F.col("confidence")), -F.col("score"), "false_positive", "file", "start_line", "ordinal")
+    keyed = f.select("ordinal", "file", basis.alias("basis"), F.sha2(F.concat_ws("\x00", *head, sig), 256).alias("key"), order.alias("o"))
+    return keyed.groupBy("basis", "key").agg(F.min_by("ordinal", "o").alias("primary_id"), F.count("*").alias("n"), F.countDistinct("file").alias("files")).drop("key")
+
+
+JSON = {k: f"coalesce(json_extract_string(finding_json, '$.{k}'), '')" for k in ("rule_id", "agent", "file", "code_sample", "description")}
+
+
+@query(f"""SELECT ordinal, substr(sha256(rule_id || '|' || agent || '|' || file || '|' || CASE WHEN {sq("code_sample")} <> '' THEN {sq("code_sample")} ELSE {sq("description")} END), 1, 16) AS fingerprint FROM v""", "v")
+def fingerprints(spark, d):
+    c = F.col
+    return findings(spark, d, "rule_id", "agent", "file", "code_sample", "description").select("ordinal", T.fingerprint(c("rule_id"), c("agent"), c("file"), c("code_sample"), c("description")).alias("fingerprint"))
+
+
+@query(f"""SELECT entry_id FROM baseline WHERE batch_no >= 1 AND fingerprint IS NOT NULL AND fingerprint NOT IN (SELECT fingerprint FROM baseline WHERE batch_no = 0 AND fingerprint IS NOT NULL)""")
+def baseline_new(spark, d):
+    b = table(spark, d, "baseline", "entry_id", "batch_no", "fingerprint").where("fingerprint IS NOT NULL")
+    return b.where("batch_no >= 1").join(b.where("batch_no = 0").select("fingerprint"), "fingerprint", "left_anti").select("entry_id")
+
+
+@query(f"""SELECT batch_no, count(*) AS n, CAST(sum(CASE WHEN fingerprint = substr(sha256({JSON['rule_id']} || '|' || {JSON['agent']} || '|' || {JSON['file']} || '|' || CASE WHEN {sq(JSON['code_sample'])} <> '' THEN {sq(JSON['code_sample'])} ELSE {sq(JSON['description'])} END), 1, 16) THEN 1 ELSE 0 END) AS BIGINT) AS same FROM baseline GROUP BY batch_no""")
+def baseline_fingerprint_check(spark, d):
+    b = table(spark, d, "baseline", "batch_no", "fingerprint", "finding_json")
+    j = b.select("batch_no", "fingerprint", F.from_json("finding_json", "rule_id string, agent string, file string, code_sample string, description string").alias("j"))
+    fp = T.fingerprint(F.col("j.rule_id"), F.col("j.agent"), F.col("j.file"), F.col("j.code_sample"), F.col("j.description"))
+    return j.groupBy("batch_no").agg(F.count("*").alias("n"), F.sum(F.coalesce((F.col("fingerprint") == fp).cast("long"), F.lit(0))).alias("same"))
+
+
+MARKERS = "m AS (SELECT ordinal, file, start_line - CAST(ordinal % 2 AS INT) AS line, CASE ordinal % 3 WHEN 0 THEN '*' WHEN 1 THEN rule_id ELSE agent END AS rule FROM v WHERE false_positive)"
+
+
+@query(f""", {MARKERS} SELECT v.ordinal, min(m.ordinal) AS marker FROM v JOIN m ON m.file = v.file AND v.start_line BETWEEN m.line AND m.line + 1 AND (m.rule = '*' OR m.rule = v.rule_id OR m.rule = v.agent) GROUP BY v.ordinal""", "v")
+def suppress_first_match(spark, d):
+    f = findings(spark, d, "rule_id", "agent", "file", "start_line", "false_positive")
+    rule = F.when(F.col("ordinal") % 3 == 0, "*").when(F.col("ordinal") % 3 == 1, F.col("rule_id")).otherwise(F.col("agent"))
+    m = f.where("false_positive").select("ordinal", "file", (F.col("start_line") - (F.col("ordinal") % 2).cast("int")).alias("lo"), rule.alias("rule")).withColumn("hi", F.col("lo") + 1)
+    where = (F.col("r.rule") == "*") | (F.col("r.rule") == F.col("l.rule_id")) | (F.col("r.rule") == F.col("l.agent"))
+    got = joins.range_first_match(f, m, ["file"], ("start_line", "start_line"), ("lo", "hi"), "ordinal", where=where)
+    return got.select("ordinal", F.col("match.ordinal").alias("marker"))
+
+
+TRACES = "t AS (SELECT ordinal, file, start_line + CAST(ordinal % 5 AS INT) - 2 AS sink FROM v WHERE verified)"
+
+
+@query(f""", {TRACES} SELECT v.ordinal, min(t.ordinal) AS trace_id FROM v JOIN t ON t.file = v.file AND t.sink BETWEEN v.start_line - 2 AND v.end_line + 2 GROUP BY v.ordinal""", "v")
+def trace_first_match(spark, d):
+    f = findings(spark, d, "file", "start_line", "end_line", "verified")
+    t = f.where("verified").select("ordinal", "file", (F.col("start_line") + (F.col("ordinal") % 5).cast("int") - 2).alias("sink"))
+    left = f.withColumn("lo", F.col("start_line") - 2).withColumn("hi", F.col("end_line") + 2)
+    return joins.range_first_match(left, t, ["file"], ("lo", "hi"), ("sink", "sink"), "ordinal").select("ordinal", F.col("match.ordinal").alias("trace_id"))
+
+
+@query(f""", {TRACES} SELECT ordinal, arg_min(trace_id, pass * 10000000000 + trace_id) AS trace_id, min(pass) AS pass FROM (
+SELECT v.ordinal, t.ordinal AS trace_id, CASE WHEN t.sink BETWEEN v.start_line - 2 AND v.end_line + 2 THEN 1 WHEN t.sink BETWEEN v.start_line - 50 AND v.end_line + 50 THEN 2 ELSE 3 END AS pass FROM v JOIN t ON t.file = v.file) GROUP BY ordinal""", "v")
+def path_three_pass_match(spark, d):
+    """The nearest kind of match first: each pass is a range join over what the one before left, the last takes a file's first path."""
+    f = findings(spark, d, "file", "start_line", "end_line", "verified")
+    t = f.where("verified").select("ordinal", "file", (F.col("start_line") + (F.col("ordinal") % 5).cast("int") - 2).alias("sink"))
+    out, left = None, f.select("ordinal", "file", "start_line", "end_line")
+    for n, tolerance in ((1, 2), (2, 50)):
+        near = left.withColumn("lo", F.col("start_line") - tolerance).withColumn("hi", F.col("end_line") + tolerance)
+        got = joins.range_first_match(near, t, ["file"], ("lo", "hi"), ("sink", "sink"), "ordinal").select("ordinal", F.col("match.ordinal").alias("trace_id"), F.lit(n).alias("pass"))
+        out = got if out is None else out.union(got)
+        left = left.join(got.select("ordinal"), "ordinal", "left_anti")
+    rest = left.join(t.groupBy("file").agg(F.min("ordinal").alias("trace_id")), "file").select("ordinal", "trace_id", F.lit(3).alias("pass"))
+    return out.union(rest)
+
+
+@query("""SELECT ordinal, CASE WHEN false_positive THEN 'filter' WHEN suppressed THEN 'suppress' ELSE 'policy' END AS stage, CASE WHEN false_positive THEN 1 WHEN suppressed THEN 2 ELSE 3 END AS stage_no
+FROM v WHERE false_positive OR suppressed OR (score > 0 AND score < 0.3)""", "v")
+def funnel_first_drop(spark, d):
+    f = findings(spark, d, "false_positive", "suppressed", "score")
+    a = f.where("NOT false_positive")
+    b = a.where("NOT suppressed")
+    return joins.first_drop([("raw", f), ("filter", a), ("suppress", b), ("policy", b.where("NOT (score > 0 AND score < 0.3)"))], "ordinal")
+
+
+@query("""SELECT stage_no, n, n - lag(n) OVER (ORDER BY stage_no) AS delta FROM (SELECT 0 AS stage_no, count(*) AS n FROM v UNION ALL SELECT 1, count(*) FROM v WHERE NOT false_positive UNION ALL SELECT 2, count(*) FROM v WHERE NOT false_positive AND NOT suppressed)""", "v")
+def funnel_deltas(spark, d):
+    from pyspark.sql import Window
+
+    f = findings(spark, d, "false_positive", "suppressed")
+    n = F.count("*"), F.sum((~F.col("false_positive")).cast("long")), F.sum((~F.col("false_positive") & ~F.col("suppressed")).cast("long"))
+    rows = f.agg(F.array(*n).alias("a")).select(F.posexplode("a").alias("stage_no", "n"))
+    return rows.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("stage_no")))  # three rows
