@@ -51,7 +51,7 @@ def query(sql: str | None = None, views: str = "", recursive: bool = False):
         QUERIES[f.__name__] = f
         if sql:
             parts = [WITH[v] for v in views.split()]
-            SQL[f.__name__] = sql if not parts else f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {sql if not sql.lstrip().startswith(',') else sql}"
+            SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {sql}" if parts else sql
         return f
 
     return add
@@ -172,7 +172,7 @@ HOP = lambda h: f"coalesce({FOLD(f'coalesce({h}.kind, {chr(39)}{chr(39)})')} ||
 
 @query(f""", k AS (SELECT *, CASE WHEN coalesce(len(trace), 0) = 0 THEN '' ELSE {HOP("src")} || '|' || {HOP("snk")} END AS t, replace({FOLD("code_sample")}, ' ', '') AS c,
   CASE WHEN strlen({FOLD("description")}) >= 32 AND len(string_split({FOLD("description")}, ' ')) >= 4 THEN {FOLD("description")} ELSE '' END AS ds
-  FROM (SELECT *, coalesce(list_filter(trace, h -> lower(h.kind) = 'source')[1], trace[1]) AS src, coalesce(list_filter(trace, h -> lower(h.kind) = 'sink')[-1], trace[-1]) AS snk FROM r)),
+  FROM (SELECT *, coalesce(list_filter(trace, lambda h: lower(h.kind) = 'source')[1], trace[1]) AS src, coalesce(list_filter(trace, lambda h: lower(h.kind) = 'sink')[-1], trace[-1]) AS snk FROM r)),
 g AS (SELECT *, CASE WHEN t <> '' THEN 'trace' WHEN c <> '' THEN 'code_sample' WHEN ds <> '' THEN 'description' ELSE 'location' END AS basis,
   CASE WHEN t <> '' THEN t WHEN c <> '' THEN c WHEN ds <> '' THEN ds ELSE file || '|' || start_line || '|' || end_line END AS sig, {FOLD("CASE WHEN trim(rule_id) = '' THEN title ELSE rule_id END")} AS hr, {FOLD("agent")} AS ha, {FOLD("title")} AS ht FROM k)
 SELECT first(ordinal ORDER BY sr DESC, cr DESC, score DESC, false_positive, file, start_line, ordinal) AS primary_id, basis, count(*) AS n, count(DISTINCT file) AS files FROM g GROUP BY hr, ha, ht, basis, sig""", "v r")
@@ -265,3 +265,296 @@ def funnel_deltas(spark, d):
     n = F.count("*"), F.sum((~F.col("false_positive")).cast("long")), F.sum((~F.col("false_positive") & ~F.col("suppressed")).cast("long"))
     rows = f.agg(F.array(*n).alias("a")).select(F.posexplode("a").alias("stage_no", "n"))
     return rows.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("stage_no")))  # three rows
+
+
+@query(r"""SELECT file_id, path, regexp_matches(lower(path), '(_test\.go|\.(test|spec)\.(js|ts))$|/(test|tests|fixtures|__tests__)/') OR (lower(string_split(path, '/')[-1]) LIKE 'test!_%' ESCAPE '!' AND lower(path) LIKE '%.py') AS test,
+regexp_matches(lower(path), '(main\.go|__main__\.py|manage\.py|app\.py|index\.(js|ts)|server\.js|main\.java|application\.java)$') AS entry_file FROM files WHERE path IS NOT NULL""")
+def path_flags(spark, d):
+    f = table(spark, d, "files", "file_id", "path").where("path IS NOT NULL")
+    return f.select("file_id", "path", T.is_test_path(F.col("path")).alias("test"), T.is_entry_path(F.col("path")).alias("entry_file"))
+
+
+
+@query("SELECT file_id, CASE regexp_extract(lower(string_split(path, '/')[-1]), '(\\.[^.]*)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'text' END AS language FROM files WHERE path IS NOT NULL")
+def file_language(spark, d):
+    return table(spark, d, "files", "file_id", "path").where("path IS NOT NULL").select("file_id", T.language_of(F.col("path")).alias("language"))
+
+
+@query(r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(b, '^dockerfile($|\.)|\.dockerfile$') THEN 'dockerfile' WHEN e IN ('.tf', '.tfvars') THEN 'terraform' WHEN e IN ('.yml', '.yaml') AND contains(path, '.github/workflows/') THEN 'workflow'
+WHEN regexp_matches(b, '^(docker-)?compose\.ya?ml$') THEN 'compose' WHEN e IN ('.yml', '.yaml') AND contains(c, 'apiVersion') AND regexp_matches(c, 'kind: (Deployment|Pod|Service|Ingress|ConfigMap|Secret|StatefulSet|DaemonSet|Job|CronJob|Role|ClusterRole|ServiceAccount|NetworkPolicy)') THEN 'kubernetes' ELSE '' END AS kind
+FROM (SELECT path, coalesce(content, '') AS c, lower(string_split(path, '/')[-1]) AS b, regexp_extract(lower(string_split(path, '/')[-1]), '(\.[^.]*)$', 1) AS e FROM files WHERE path IS NOT NULL)) GROUP BY kind""")
+def infra_kinds(spark, d):
+    f = table(spark, d, "files", "path", "content").where("path IS NOT NULL")
+    return f.groupBy(T.infra_kind(F.col("path"), F.col("content")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN strlen(t) < 64 THEN (strlen(t) + 3) // 4 ELSE ((strlen(t) - b - n) * 100) // 360 + n + b // 6 END AS tokens, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + 1 END AS lines
+FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[ \t]', '', 'g')) AS b, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\n\r]', '', 'g')) AS n FROM documents)""")
+def token_estimate(spark, d):
+    x = F.col("text")
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.token_estimate(x).alias("tokens"), T.line_count(x).cast("long").alias("lines"))
+
+
+@query("""SELECT file_id, w AS window_no, w * 120 + 1 AS first_line, least((w + 1) * 120, len(l)) AS last_line, sha256(array_to_string(l[w * 120 + 1 : (w + 1) * 120], chr(10))) AS body
+FROM (SELECT file_id, l, unnest(range(0, (len(l) - 1) // 120 + 1)) AS w FROM (SELECT file_id, string_split(content, chr(10)) AS l FROM files WHERE content IS NOT NULL)) WHERE regexp_replace(array_to_string(l[w * 120 + 1 : (w + 1) * 120], chr(10)), '[\\s\\x0b]', '', 'g') <> ''""")
+def line_windows_120(spark, d):
+    w = windows.line_windows(table(spark, d, "files", "file_id", "content"), ["file_id"], "content", 120)
+    return w.select("file_id", F.col("window_no").cast("long").alias("window_no"), F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"), F.sha2("body", 256).alias("body"))
+
+
+@query(r"SELECT file_id, CAST(i AS BIGINT) AS line_no, left(l, 240) AS line FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files) WHERE regexp_matches(l, '(TODO|FIXME|rotate the (password|token))')")
+def search_lines(spark, d):
+    hits = retrieval.search_lines(table(spark, d, "files", "file_id", "content"), ["file_id"], "content", "(TODO|FIXME|rotate the (password|token))")
+    return hits.select("file_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("""SELECT finding_id, array_to_string(string_split(content, chr(10))[greatest(start_line - 2, 1) : end_line + 2], chr(10)) AS snippet FROM findings f JOIN (SELECT path, min(file_id) AS file_id FROM files WHERE content IS NOT NULL GROUP BY path) p ON p.path = f.file JOIN files USING (file_id)""")
+def read_lines(spark, d):
+    files = table(spark, d, "files", "file_id", "path", "content").where("content IS NOT NULL")
+    one = files.groupBy("path").agg(F.min_by("content", "file_id").alias("content"))
+    f = table(spark, d, "findings", "finding_id", "file", "start_line", "end_line").join(one, F.col("file") == F.col("path"))
+    first = F.greatest(F.col("start_line") - 2, F.lit(1))
+    return f.select("finding_id", F.array_join(F.slice(F.split("content", "\n"), first, F.greatest(F.col("end_line") + 2 - first + 1, F.lit(0))), "\n").alias("snippet"))
+
+
+@query("""SELECT chunk_id, file_id, min(start_line) AS start_line, max(end_line) AS end_line, min(priority) AS priority, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
+SELECT *, sum(fresh) OVER (PARTITION BY chunk_id, file_id ORDER BY start_line, end_line, ordinal ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN max(end_line) OVER (PARTITION BY chunk_id, file_id ORDER BY start_line, end_line, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_line THEN 0 ELSE 1 END AS fresh FROM frag)) GROUP BY chunk_id, file_id, island""", "frag")
+def interval_merge(spark, d):
+    out = windows.merge_intervals(fragments(spark, d), ["chunk_id", "file_id"], "start_line", "end_line", [F.min("priority").alias("priority"), F.count("*").alias("n"), F.sum("tokens").alias("tokens")])
+    return out.drop("island")
+
+
+@query("SELECT * FROM (SELECT chunk_id, ordinal, tokens, row_number() OVER (PARTITION BY chunk_id ORDER BY priority, tokens, ordinal) AS rank FROM frag) WHERE rank <= 3", "frag")
+def per_group_cap(spark, d):
+    return dedup.top_per_group(fragments(spark, d).select("chunk_id", "ordinal", "tokens", "priority"), ["chunk_id"], [F.asc("priority"), F.asc("tokens"), F.asc("ordinal")], 3).drop("priority")
+
+
+@query("SELECT chunk_id, ordinal, used FROM (SELECT chunk_id, ordinal, CAST(sum(tokens) OVER (PARTITION BY chunk_id ORDER BY priority, tokens, ordinal ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM frag) WHERE used <= 8000", "frag")
+def within_budget(spark, d):
+    f = fragments(spark, d).select("chunk_id", "ordinal", "tokens", "priority")
+    return windows.within_budget(f, ["chunk_id"], [F.asc("priority"), F.asc("tokens"), F.asc("ordinal")], F.col("tokens"), 8000).select("chunk_id", "ordinal", "used")
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) // count(*) AS mean, list_sort(list(n_chars))[95 * (count(*) - 1) // 100 + 1] AS p95 FROM documents WHERE n_chars IS NOT NULL GROUP BY source")
+def size_statistics(spark, d):
+    """The floor-index percentile, by rank instead of collected lists."""
+    from pyspark.sql import Window
+
+    x = table(spark, d, "documents", "source", "n_chars").where("n_chars IS NOT NULL")
+    hist = x.groupBy("source", "n_chars").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("source").orderBy("n_chars"))
+    total = hist.groupBy("source").agg(F.sum("c").alias("n"), F.floor(F.sum(F.col("c") * F.col("n_chars")) / F.sum("c")).alias("mean"))
+    at = hist.withColumn("upto", upto).join(total, "source").where(F.col("upto") > F.floor(95 * (F.col("n") - 1) / 100))
+    return at.groupBy("source", "n", "mean").agg(F.min("n_chars").alias("p95"))
+
+
+@query("""SELECT query, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM (
+SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 8""")
+def cosine_topk(spark, d):
+    e = table(spark, d, "embeddings", "vec_id", "embedding")
+    return retrieval.cosine_topk(e, e.where("vec_id % 100 = 0"), 8).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT doc_id AS id, score FROM (SELECT doc_id, " + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in ("token", "cache", "cache")) + " AS score FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def keyword_topk(spark, d):
+    return retrieval.keyword_topk(table(spark, d, "documents", "doc_id", "text"), ["token", "cache", "cache"], 20, "doc_id", "text")
+
+
+GRAMS = lambda t: f"list_distinct(flatten(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9_]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: CASE WHEN length(w) < 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) END)))"
+
+
+@query(f"""SELECT query, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (
+SELECT q.item_id AS query, c.finding_id AS id, x / (len(c.g) + len(q.g) - x)::DOUBLE AS score FROM (SELECT q.item_id, c.finding_id, count(*) AS x FROM (SELECT finding_id, unnest({GRAMS('title')}) AS gram FROM findings) c JOIN (SELECT item_id, unnest({GRAMS('text')}) AS gram FROM eval_items WHERE item_id % 100 = 0) q USING (gram) GROUP BY ALL) p
+JOIN (SELECT finding_id, {GRAMS('title')} AS g FROM findings) c USING (finding_id) JOIN (SELECT item_id, {GRAMS('text')} AS g FROM eval_items) q USING (item_id))) WHERE rank <= 5""")
+def shingle_topk(spark, d):
+    q = table(spark, d, "eval_items", "item_id", "text").where("item_id % 100 = 0")
+    got = retrieval.shingle_topk(table(spark, d, "findings", "finding_id", "title"), q, 5, "finding_id", "title", "item_id", "text")
+    return got.select("query", "id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("SELECT node, n FROM (SELECT p_partkey AS node, (SELECT count(*) FROM edges WHERE dst = p_partkey) AS n FROM part)", "edges")
+def fan_in_rank(spark, d):
+    return graph.fan_in(edges(spark, d), nodes(spark, d))
+
+
+@query("SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)", "edges")
+def roots_no_incoming(spark, d):
+    return graph.roots(edges(spark, d), nodes(spark, d))
+
+
+REACH = ", w AS (SELECT p_partkey AS node, 0 AS distance FROM part WHERE p_partkey % 100 = 0 UNION SELECT dst, distance + 1 FROM w JOIN edges ON src = node WHERE distance < {n})"
+
+
+@query(REACH.format(n=3) + " SELECT node, min(distance) AS distance FROM w GROUP BY node", "edges", recursive=True)
+def k_hop_distance(spark, d):
+    return graph.distances(edges(spark, d), nodes(spark, d).where("node % 100 = 0"), 3)
+
+
+@query(", w AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 100 = 0 UNION SELECT dst FROM w JOIN edges ON src = node) SELECT node FROM w", "edges", recursive=True)
+def reachable_set(spark, d):
+    return graph.reachable(edges(spark, d), nodes(spark, d).where("node % 100 = 0"))
+
+
+@query(", l AS (SELECT p_partkey AS node, 0 AS layer FROM part UNION SELECT dst, layer + 1 FROM l JOIN dag ON src = node) SELECT node, max(layer) AS layer FROM l GROUP BY node", "edges dag", recursive=True)
+def topological_layers(spark, d):
+    return graph.layers(edges(spark, d).where("src < dst").distinct(), nodes(spark, d))
+
+
+@query(""", e AS (SELECT DISTINCT src, dst FROM edges WHERE src % 7 = dst % 7 OR src < dst), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst),
+o AS (SELECT DISTINCT src AS node FROM c WHERE src = dst) SELECT node FROM o UNION SELECT c.dst FROM o JOIN c ON c.src = o.node""", "edges", recursive=True)
+def cycle_nodes(spark, d):
+    """Nodes on or behind a cycle: those that no layer takes."""
+    e = edges(spark, d).where("src % 7 = dst % 7 OR src < dst")
+    return graph.layers(e, nodes(spark, d)).where("layer IS NULL").select("node")
+
+
+@query(", e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT [p_partkey] AS path, 0 AS hops FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT list_append(path, dst), hops + 1 FROM w JOIN e ON src = path[-1] WHERE hops < 3 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, hops FROM w WHERE hops > 0", "edges", recursive=True)
+def bounded_paths(spark, d):
+    return graph.bounded_paths(edges(spark, d), nodes(spark, d).where("node % 100 = 0"), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
+
+
+@query("""SELECT file_id, call_no, callee, line, caller, caller_line FROM (SELECT c.file_id, c.call_no, c.callee, c.line, s.name AS caller, s.start_line AS caller_line, row_number() OVER (PARTITION BY c.file_id, c.call_no ORDER BY s.end_line - s.start_line, s.ordinal) AS rn
+FROM cal c JOIN sym s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line) WHERE rn = 1""", "rec sym cal")
+def enclosing_function(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    return codegraph.enclosing(codegraph.calls(rec), codegraph.symbols(rec))
+
+
+@query("""SELECT DISTINCT w.file_id, w.caller, s.file_id AS to_file, w.callee FROM w JOIN sym s ON s.name = w.callee WHERE (s.file_id = w.file_id OR NOT EXISTS (SELECT 1 FROM sym o WHERE o.file_id = w.file_id AND o.name = w.callee)) AND NOT (s.file_id = w.file_id AND w.caller = w.callee)""".replace("SELECT DISTINCT w.file_id", r""", w AS (SELECT DISTINCT file_id, caller, regexp_extract(trim(regexp_replace(callee, '\(.*$', '')), '([^.:>]*)$', 1) AS callee FROM (SELECT c.file_id, c.call_no, c.callee, s.name AS caller, row_number() OVER (PARTITION BY c.file_id, c.call_no ORDER BY s.end_line - s.start_line, s.ordinal) AS rn FROM cal c JOIN sym s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line) WHERE rn = 1) SELECT DISTINCT w.file_id"""), "rec sym cal")
+def call_resolution(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    within = codegraph.enclosing(codegraph.calls(rec), codegraph.symbols(rec))
+    none = rec.select("file_id", F.col("file_id").alias("to_file")).where("false")
+    return codegraph.resolve_calls(within, codegraph.symbols(rec), none)
+
+
+@query(r""", i AS (SELECT file_id, n - 1 AS import_no, trim(m.path) AS imp, p FROM (SELECT file_id, x.path AS p, unnest(x.imports) AS m, unnest(range(1, len(x.imports) + 1)) AS n FROM rec) WHERE trim(m.path) <> ''),
+f AS (SELECT DISTINCT path AS target FROM files WHERE path IS NOT NULL), k AS (SELECT key, min(target) AS target FROM (SELECT target, lower(target) AS key FROM f UNION ALL SELECT target, lower(regexp_replace(target, '\.[^./]*$', '')) FROM f) GROUP BY key),
+b AS (SELECT lower(string_split(target, '/')[-1]) AS key, min(target) AS target FROM f GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT file_id, import_no, 0 AS p, lower(regexp_replace(p, '/[^/]*$', '') || '/' || regexp_replace(imp, '^(\./)+', '')) AS key, FALSE AS base FROM i WHERE imp LIKE '.%'
+UNION ALL SELECT file_id, import_no, 1 + j, lower(replace(imp, '.', '/') || s), FALSE FROM i, (VALUES (0, ''), (1, '.go'), (2, '.py'), (3, '.js'), (4, '.ts'), (5, '.java')) v(j, s) WHERE imp NOT LIKE '.%'
+UNION ALL SELECT file_id, import_no, 20 + j, lower(string_split_regex(imp, '[/.]')[-1]) || s, TRUE FROM i, (VALUES (0, '.py'), (1, '.go')) v(j, s) WHERE imp NOT LIKE '.%'),
+h AS (SELECT c.file_id, c.import_no, c.p, coalesce(k.target, b.target) AS target FROM c LEFT JOIN k ON k.key = c.key AND NOT c.base LEFT JOIN b ON b.key = c.key AND c.base WHERE coalesce(k.target, b.target) IS NOT NULL)
+SELECT i.file_id, i.import_no, coalesce((SELECT arg_min(target, p) FROM h WHERE h.file_id = i.file_id AND h.import_no = i.import_no), 'ext:' || i.imp) AS target FROM i""", "rec")
+def import_resolution(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    return codegraph.resolve_imports(codegraph.imports(rec), table(spark, d, "files", "path"))
+
+
+@query("SELECT m AS import, count(DISTINCT file_id) AS files, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds FROM (SELECT file_id, m.path AS m, CASE WHEN x.path LIKE '%.py' THEN 'py' ELSE 'other' END AS kind FROM (SELECT file_id, x, unnest(x.imports) AS m FROM rec)) WHERE m IS NOT NULL GROUP BY m", "rec")
+def importers(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    kind = F.when(F.col("path").endswith(".py"), "py").otherwise("other")
+    return codegraph.imports(rec).where("import IS NOT NULL").groupBy("import").agg(F.countDistinct("file_id").alias("files"), F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("kinds"))
+
+
+PAIRS = "p AS (SELECT DISTINCT file, upper(cwe) AS cwe FROM v WHERE cwe <> '' AND score >= 0.5), t AS (SELECT DISTINCT file, upper(cwe) AS cwe FROM v WHERE cwe <> '' AND verified)"
+
+
+def labelled(spark, d):
+    f = findings(spark, d, "file", "cwe", "score", "verified").where("cwe <> ''").withColumn("cwe", F.upper("cwe"))
+    return f, f.where("verified").select("file", "cwe")
+
+
+@query(f""", {PAIRS}, j AS (SELECT coalesce(p.cwe, t.cwe) AS value, p.file IS NOT NULL AS a, t.file IS NOT NULL AS b FROM p FULL JOIN t ON p.file = t.file AND p.cwe = t.cwe),
+c AS (SELECT value, CAST(sum(CASE WHEN a AND b THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN a AND NOT b THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN b AND NOT a THEN 1 ELSE 0 END) AS BIGINT) AS fn, grouping(value) AS is_total FROM j GROUP BY ROLLUP (value)),
+q AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS pr, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS re FROM c)
+SELECT value, tp, fp, fn, is_total, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 9) AS f1 FROM q""", "v")
+def evaluation_by_class(spark, d):
+    f, t = labelled(spark, d)
+    out = evaluate.confusion(f.where("score >= 0.5").select("file", "cwe"), t, ["file", "cwe"], "cwe")
+    return out.select("value", "tp", "fp", "fn", F.col("is_total").cast("long").alias("is_total"), *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+SAMPLES = ", t AS (SELECT DISTINCT file, upper(cwe) AS cwe FROM v WHERE cwe <> '' AND verified), s AS (SELECT v.score AS x, count(*) AS n, CAST(sum(CASE WHEN t.file IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM v LEFT JOIN t ON t.file = v.file AND t.cwe = upper(v.cwe) WHERE v.cwe <> '' AND v.score <> 0 GROUP BY v.score)"
+PAV = ", o AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(hits) OVER (ORDER BY x) AS ch FROM s), fit AS (SELECT x, max(low) AS y FROM (SELECT a.x, b.i AS j, min((c.ch - b.ch + b.hits) / (c.cn - b.cn + b.n)) AS low FROM o a JOIN o b ON b.i <= a.i JOIN o c ON c.i >= a.i GROUP BY a.x, b.i) GROUP BY x)"
+
+
+@query(SAMPLES + " SELECT * FROM s", "v")
+def calibration_samples(spark, d):
+    f, t = labelled(spark, d)
+    return evaluate.pool_scores(evaluate.samples(f, t, ["file", "cwe"]))
+
+
+@query(SAMPLES + ", u AS (SELECT round(x, 2) AS x, sum(n) AS n, sum(hits) AS hits FROM s GROUP BY round(x, 2))" + PAV.replace("FROM s)", "FROM u)") + " SELECT x, round(y, 9) AS y FROM fit", "v")
+def calibration_fit(spark, d):
+    f, t = labelled(spark, d)
+    pooled = evaluate.pool_scores(evaluate.samples(f.withColumn("score", F.round("score", 2)), t, ["file", "cwe"]).where("score <> 0"))
+    knots = evaluate.isotonic_fit(pooled)
+    return spark.createDataFrame([(x, round(y, 9)) for x, y in knots], "x double, y double")
+
+
+SQL["calibration_fit"] = SQL["calibration_fit"].replace("GROUP BY round(x, 2))", "GROUP BY round(x, 2) HAVING round(x, 2) <> 0)")
+
+
+@query("SELECT ordinal, round(CASE WHEN score = 0 THEN 0 WHEN score <= 0.2 THEN 0.1 WHEN score >= 0.9 THEN 0.8 WHEN score <= 0.6 THEN 0.1 + (score - 0.2) / 0.4 * 0.4 ELSE 0.5 + (score - 0.6) / 0.3 * 0.3 END, 9) AS calibrated FROM v", "v")
+def calibration_apply(spark, d):
+    return findings(spark, d, "score").select("ordinal", F.round(evaluate.interpolated(F.col("score"), [(0.2, 0.1), (0.6, 0.5), (0.9, 0.8)]), 9).alias("calibrated"))
+
+
+@query("SELECT ordinal, array_to_string(list_distinct_keep, ',') AS tags FROM (SELECT ordinal, list_filter(list_append(coalesce(tags, []), 'reviewed'), lambda x, i: list_position(list_append(coalesce(tags, []), 'reviewed'), x) = i) AS list_distinct_keep FROM v)", "v")
+def append_unique(spark, d):
+    f = table(spark, d, "findings", "finding_id", "tags")
+    return f.select(F.col("finding_id").alias("ordinal"), F.array_join(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("reviewed"))), ",").alias("tags"))
+
+
+@query("SELECT ordinal, CASE WHEN rule_id <> '' THEN rule_id ELSE agent || '/' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') END AS \"ruleId\", CASE WHEN lower(trim(severity)) IN ('critical', 'high') THEN 'error' WHEN lower(trim(severity)) = 'medium' THEN 'warning' ELSE 'note' END AS level FROM v WHERE NOT false_positive", "v")
+def sarif_results(spark, d):
+    return sinks.sarif_results(findings(spark, d)).drop("result")
+
+
+@query("SELECT DISTINCT '  \"' || src || '\" -> \"' || dst || '\";' AS line FROM edges", "edges")
+def dot_lines(spark, d):
+    return sinks.dot_lines(edges(spark, d))
+
+
+@query(f"""SELECT ordinal, CASE WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS line FROM (SELECT ordinal, {sq('description')} AS t FROM v)""", "v")
+def one_line(spark, d):
+    return findings(spark, d, "description").select("ordinal", T.one_line(F.col("description"), 80).alias("line"))
+
+
+@query("SELECT vec_id, octet_length(vec) // 4 AS values FROM embedding_cache WHERE vec IS NOT NULL AND octet_length(vec) = 4 * dim")
+def vector_lengths(spark, d):
+    e = table(spark, d, "embedding_cache", "vec_id", "dim", "vec").where("vec IS NOT NULL AND octet_length(vec) = 4 * dim")
+    return e.select("vec_id", F.floor(F.octet_length("vec") / 4).alias("values"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT chunk_key, file, CAST(json_extract_string(CASE WHEN json_valid(decode(payload)) THEN decode(payload) END, '$.symbol_kind') AS VARCHAR) AS kind FROM rag_chunks WHERE payload IS NOT NULL) GROUP BY kind")
+def chunk_kinds(spark, d):
+    c = table(spark, d, "rag_chunks", "chunk_key", "file", "payload").where("payload IS NOT NULL")
+    text = F.decode("payload", "UTF-8")
+    kind = F.when(F.try_parse_json(text).isNotNull(), F.get_json_object(text, "$.symbol_kind"))
+    return c.select("chunk_key", "file", kind.alias("kind")).distinct().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def packed_symbols(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    return sequential.packed_symbols(codegraph.symbols(rec).where("start_line <= end_line"), "file_id", 60, 15)
+
+
+@query()
+def budget_admission(spark, d):
+    f = fragments(spark, d).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("priority", "tokens", "ordinal"))).alias("items"))
+    return sequential.map_rows(f, "items", ["chunk_id"], lambda rows: [(r["ordinal"], g) for r, g in zip(rows, sequential.admit([r["tokens"] for r in rows], 8000, 50)) if g], "ordinal long, granted long")
+
+
+@query()
+def squeezed_files(spark, d):
+    f = table(spark, d, "files", "file_id", "content").where("content IS NOT NULL")
+    return sequential.map_rows(f, "content", ["file_id"], lambda t: [("\n".join(sequential.squeeze_lines(t.split("\n"), 40)),)], "content string")
+
+
+@query()
+def data_flows(spark, d):
+    f = table(spark, d, "files", "file_id", "content").where("content IS NOT NULL")
+    return sequential.map_rows(f, "content", ["file_id"], lambda t: sequential.flows(t.split("\n"), ["get_", "fetch", "load"], ["flush", "publish", "submit"], ["validate", "trim"]), "source_line int, sink_line int, name string, cleaned boolean")
+
+
+@query("SELECT entry_id, md5(CAST(json(finding_json) AS VARCHAR)) IS NOT NULL AS found FROM baseline")
+def json_in_noise(spark, d):
+    """The JSON object of each finding found again between prose and code fences."""
+    b = table(spark, d, "baseline", "entry_id", "finding_json").withColumn("text", F.concat(F.lit("Result {see below:\n```json\n"), "finding_json", F.lit("\n```\nDone.")))
+    got = sequential.map_rows(b, "text", ["entry_id", "finding_json"], lambda t: [(sequential.balanced_json(t.split("see below:", 1)[1]),)], "json string")
+    return got.select("entry_id", (F.trim("json") == F.trim("finding_json")).alias("found"))
