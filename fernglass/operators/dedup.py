@@ -25,12 +25,14 @@ def vote(df: DataFrame, k: int, keys: Sequence[Column], run: str = "run_idx", or
 
     A score of 0 counts as 0.5. With k of at most 1, or a single run, the first run comes out as it is.
     """
-    total = df.agg(F.countDistinct(run).alias("total"), F.min(run).alias("_first"))
+    total = df.select(run).where(F.col(run).isNotNull()).distinct().count()
+    if k <= 1 or total <= 1:
+        first = df.agg(F.min(run).alias("_f")).first()["_f"]
+        return df.where(F.col(run) == first).select("*", F.lit(1).cast("long").alias("votes"), F.lit(total).cast("long").alias("total"), F.col(score).alias("voted_score"))
     named = {f"_k{i}": c for i, c in enumerate(keys)}
     voted = df.withColumns(named).groupBy(*named).agg(F.countDistinct(run).alias("votes"), F.min_by(F.struct(*df.columns), F.struct(run, ordinal)).alias("_r"))
     base = F.when(F.col(f"_r.{score}") == 0, 0.5).otherwise(F.col(f"_r.{score}"))
-    voted = voted.crossJoin(F.broadcast(total))  # one row
-    return voted.where(F.col("votes") >= k).select("_r.*", "votes", "total", (base * F.col("votes") / F.col("total")).alias("voted_score"))
+    return voted.where(F.col("votes") >= k).select("_r.*", "votes", F.lit(total).cast("long").alias("total"), (base * F.col("votes") / total).alias("voted_score"))
 
 
 def histograms(df: DataFrame, *columns: str) -> DataFrame:

@@ -38,9 +38,10 @@ def prioritised(candidates: DataFrame, key: Sequence[str], priority: Sequence[st
 
 def with_default(left: DataFrame, lookup: DataFrame, key: str, values: Sequence[str], default: str = "default") -> DataFrame:
     """left with the values of its key, or those of the key default, or NULL. The lookup has one row per key and is broadcast."""
-    d = lookup.where(F.col(key) == default).select(*(F.col(v).alias(f"_d_{v}") for v in values)).limit(1)
-    out = left.join(F.broadcast(lookup.where(F.col(key) != default).select(key, *values)), key, "left").join(F.broadcast(d), F.lit(True), "left")
-    return out.select(*left.columns, *(F.coalesce(v, f"_d_{v}").alias(v) for v in values))
+    d = lookup.where(F.col(key) == default).select(*values).first()
+    out = left.join(F.broadcast(lookup.where(F.col(key) != default).select(key, *values)), key, "left")
+    other = {v: F.lit(d[v] if d else None).cast(lookup.schema[v].dataType) for v in values}
+    return out.select(*left.columns, *(F.coalesce(v, other[v]).alias(v) for v in values))
 
 
 def first_drop(stages: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
