@@ -114,4 +114,23 @@ WITH r AS (
 m AS (SELECT f, rule, s, e, count(*) AS n, max(q1) AS m1, max(q2) AS m2, max(q3) AS m3, max(q4) AS m4, max(q5) AS m5, max(q6) AS m6 FROM r GROUP BY f, rule, s, e HAVING count(*) > 1)
 SELECT min(finding_id) AS finding_id FROM r JOIN m USING (f, rule, s, e)
 WHERE q1 = m1 AND q2 = m2 AND q3 = m3 AND q4 = m4 AND q5 = m5 AND q6 = m6 GROUP BY f, rule, s, e""",
+    "p2_found": r"""
+WITH e AS (SELECT entry_id, batch_no, fingerprint, list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(json_extract_string(finding_json, '$.title'), ''), coalesce(json_extract_string(finding_json, '$.description'), ''), coalesce(json_extract_string(finding_json, '$.code_sample'), ''))), '[a-z0-9_]+')) AS w FROM baseline),
+u AS (SELECT entry_id, unnest(w) AS word FROM e), c AS (SELECT a.entry_id AS x, b.entry_id AS y, count(*) AS n FROM u a JOIN u b ON a.word = b.word AND a.entry_id > b.entry_id GROUP BY ALL),
+p AS (SELECT x, y FROM c JOIN e a ON a.entry_id = x JOIN e b ON b.entry_id = y WHERE 10 * n >= 7 * (len(a.w) + len(b.w) - n)
+UNION ALL SELECT a.entry_id, b.entry_id FROM e a JOIN e b ON a.fingerprint = b.fingerprint AND a.entry_id > b.entry_id)
+SELECT min(y) AS first_id, x AS entry_id FROM p JOIN e ON entry_id = x WHERE batch_no >= 1 GROUP BY x""",
+    "p6_found": r"""
+WITH RECURSIVE e AS (SELECT finding_id AS id, list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(code_sample, ''))), '[a-z0-9_]+')) AS w FROM findings),
+u AS (SELECT id, unnest(w) AS word FROM e), c AS (SELECT a.id AS x, b.id AS y, count(*) AS n FROM u a JOIN u b ON a.word = b.word AND a.id < b.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN e a ON a.id = x JOIN e b ON b.id = y WHERE 10 * n >= 7 * (len(a.w) + len(b.w) - n)),
+s AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (SELECT x, y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON s.x = r.y)
+SELECT x AS finding_a, y AS finding_b FROM r WHERE x < y""",
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+a AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS g FROM d), b AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
+    "p10_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k : k + 7], ' '))) AS g FROM d)
+SELECT doc_id FROM g GROUP BY doc_id HAVING 1 - count(DISTINCT g) / count(*) >= 0.3""",
 }
