@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import findings as V
 from fernglass.functions import text as T
-from fernglass.operators import codegraph, dedup, evaluate, graph, joins, retrieval, sequential, windows
+from fernglass.operators import codegraph, dedup, evaluate, graph, joins, retrieval, rules, sequential, windows
+from fernglass.session import materialize
 from fernglass.sources import sinks
 from fernglass.sources.tables import table
 from fernglass.streaming.windows import usage_windows
@@ -558,3 +559,96 @@ def json_in_noise(spark, d):
     b = table(spark, d, "baseline", "entry_id", "finding_json").withColumn("text", F.concat(F.lit("Result {see below:\n```json\n"), "finding_json", F.lit("\n```\nDone.")))
     got = sequential.map_rows(b, "text", ["entry_id", "finding_json"], lambda t: [(sequential.balanced_json(t.split("see below:", 1)[1]),)], "json string")
     return got.select("entry_id", (F.trim("json") == F.trim("finding_json")).alias("found"))
+
+
+RULES = [("py-query", "python", "select * from"), ("py-auth", "python", "set_header("), ("go-auth", "go", "setHeader("), ("js-auth", "javascript", "setHeader("), ("java-bucket", "java", "openBucket("), ("go-error", "go", "err != nil")]
+
+
+@query("SELECT file_id, CAST(i AS BIGINT) AS line_no, r.rule FROM (SELECT file_id, language, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files) f JOIN (VALUES " + ", ".join(str(r) for r in RULES) + ") r(rule, lang, lit) ON f.language = r.lang AND contains(l, r.lit)")
+def rule_matches(spark, d):
+    got = rules.rule_matches(table(spark, d, "files", "file_id", "language", "content"), ["file_id"], "language", "content", RULES)
+    return got.select("file_id", F.col("line_no").cast("long").alias("line_no"), "rule")
+
+
+MARK = r"rotate the (password|token) with ([A-Za-z0-9_]+) every (\d+) days"
+
+
+@query(f"SELECT file_id, CAST(i AS BIGINT) AS line_no, regexp_extract(l, '{MARK}', 1) AS what, regexp_extract(l, '{MARK}', 2) AS tool, regexp_extract(l, '{MARK}', 3) AS days FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files) WHERE regexp_matches(l, '{MARK}')")
+def marks_in_source(spark, d):
+    got = rules.extract_marks(table(spark, d, "files", "file_id", "content"), ["file_id"], "content", MARK, ["what", "tool", "days"])
+    return got.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+ENTRY = [("handler", "^(queue|publish|submit)", 0.9), ("loader", "^(load|fetch)", 0.7), ("other", "[A-Z_].*[A-Z_]", 0.3)]
+
+
+@query("SELECT file_id, name, kind, weight FROM (SELECT file_id, name, CASE WHEN regexp_matches(name, '^(queue|publish|submit)') THEN 'handler' WHEN regexp_matches(name, '^(load|fetch)') THEN 'loader' WHEN regexp_matches(name, '[A-Z_].*[A-Z_]') THEN 'other' END AS kind, CASE WHEN regexp_matches(name, '^(queue|publish|submit)') THEN 0.9::DOUBLE WHEN regexp_matches(name, '^(load|fetch)') THEN 0.7::DOUBLE WHEN regexp_matches(name, '[A-Z_].*[A-Z_]') THEN 0.3::DOUBLE END AS weight, row_number() OVER (PARTITION BY file_id, name ORDER BY ordinal) AS rn FROM sym WHERE kind IS NOT NULL) WHERE rn = 1 AND kind IS NOT NULL", "rec sym")
+def entry_points(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    s = codegraph.symbols(rec).where("kind IS NOT NULL")
+    kind, weight = rules.first_rule(F.col("name"), ENTRY)
+    best = dedup.first_by(s.select("file_id", "ordinal", "name", kind.alias("kind"), weight.alias("weight")), ["file_id", "name"], [F.desc("weight"), F.asc("ordinal")])
+    return best.where("kind IS NOT NULL").drop("ordinal")
+
+
+@query("SELECT f.file_id FROM files f WHERE f.path IN (SELECT file FROM findings)")
+def changed_files(spark, d):
+    """Files that are named by another table: a semi join."""
+    return table(spark, d, "files", "file_id", "path").join(table(spark, d, "findings", "file").toDF("path"), "path", "left_semi").select("file_id")
+
+
+@query("SELECT file_id, row_number() OVER (ORDER BY p IS NULL, coalesce(p, 0), file_id) AS position FROM (SELECT f.file_id, CASE WHEN n >= 5 THEN -n END AS p FROM files f LEFT JOIN (SELECT file, count(*) AS n FROM findings GROUP BY file) c ON c.file = f.path)")
+def files_by_priority(spark, d):
+    """Files with many findings first. Positions are the row's own rank, which a sort of the whole table gives."""
+    from pyspark.sql import Window
+
+    many = table(spark, d, "findings", "file").groupBy(F.col("file").alias("path")).agg((-F.count("*")).alias("priority")).where("priority <= -5")
+    placed = rules.by_priority(table(spark, d, "files", "file_id", "path"), "path", many, "file_id").select("file_id", "position")
+    # ranks without one task: positions within sorted partitions, after those of the partitions before
+    ordered = materialize(placed.orderBy("position").select("file_id", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("at")), "ordered")
+    counts = ordered.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    return ordered.join(F.broadcast(counts), "part").select("file_id", (F.col("before") + F.col("at") + 1).alias("position"))
+
+
+@query(""", d AS (SELECT file, rule_id, list(ordinal) AS ids, min(ordinal) % 4 = 0 AS dropped FROM r WHERE ordinal % 3 <> 0 GROUP BY file, rule_id HAVING count(*) > 1),
+n AS (SELECT file AS f, rule_id AS q, dropped, unnest(ids) AS ordinal FROM d), k AS (SELECT n.ordinal, dropped, row_number() OVER (PARTITION BY f, q ORDER BY sr DESC, cr DESC, start_line, n.ordinal) AS rn FROM n JOIN r ON r.ordinal = n.ordinal)
+SELECT ordinal FROM k WHERE NOT dropped AND rn = 1 UNION ALL SELECT ordinal FROM r WHERE ordinal NOT IN (SELECT ordinal FROM n)""", "v r")
+def merged_decisions(spark, d):
+    f = findings(spark, d, "file", "rule_id", "severity", "confidence", "start_line")
+    named = f.where("ordinal % 3 <> 0").groupBy("file", "rule_id").agg(F.collect_list("ordinal").alias("ids"), (F.min("ordinal") % 4 == 0).alias("drop")).where(F.size("ids") > 1)
+    order = [V.severity_rank(F.col("severity")).desc(), V.confidence_rank(F.col("confidence")).desc(), F.asc("start_line"), F.asc("ordinal")]
+    return rules.merge_decisions(f, named.select("ids", "drop"), "ordinal", order).select("ordinal")
+
+
+def halves(n: int) -> str:
+    view, names = "w0 AS (SELECT file_id, start_line AS a, end_line AS b FROM sym WHERE start_line <= end_line)", "w0"
+    for i in range(n):
+        m = "CAST(floor((a + b) / 2.0) AS INT)"
+        view += f", w{i + 1} AS (SELECT file_id, a, b FROM w{i} WHERE b - a + 1 <= 12 UNION ALL SELECT file_id, a, {m} FROM w{i} WHERE b - a + 1 > 12 UNION ALL SELECT file_id, {m} + 1, b FROM w{i} WHERE b - a + 1 > 12)"
+    return view
+
+
+@query(f", {halves(4)} SELECT file_id, a AS start_line, b AS end_line FROM w4", "rec sym")
+def split_to_size(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    s = codegraph.symbols(rec).where("start_line <= end_line").select("file_id", "start_line", "end_line")
+    return rules.split_to_size(s, ["file_id"], "start_line", "end_line", 12)
+
+
+@query(r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(file), '(_test\.go|\.(test|spec)\.(js|ts))$|/(test|tests|fixtures|__tests__)/') OR (lower(string_split(file, '/')[-1]) LIKE 'test!_%' ESCAPE '!' AND lower(file) LIKE '%.py') THEN 'test'
+WHEN file NOT IN (SELECT x.path FROM rec WHERE len(x.calls) >= 3 AND x.path IS NOT NULL) AND NOT regexp_matches(lower(file), '(main\.go|__main__\.py|manage\.py|app\.py|index\.(js|ts)|server\.js|main\.java|application\.java)$') THEN 'unreached' END AS reason FROM v) GROUP BY reason""".replace("lower(file)", "lower(replace(file, chr(92), '/'))").replace("string_split(file,", "string_split(replace(file, chr(92), '/'),"), "v rec")
+def reach_reasons(spark, d):
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    busy = rec.where("size(calls) >= 3 AND path IS NOT NULL").select(F.col("path").alias("file"))
+    f = findings(spark, d, "file")
+    return rules.downgraded(f, busy, "file", T.is_test_path(F.col("file")), T.is_entry_path(F.col("file"))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT w.file_id, w.window_no, count(*) AS n FROM (SELECT file_id, unnest(range(0, 6)) AS window_no FROM rec) w JOIN sym s ON s.file_id = w.file_id AND s.start_line <= w.window_no * 40 + 40 AND s.end_line >= w.window_no * 40 + 1 AND s.start_line <= s.end_line GROUP BY ALL", "rec sym")
+def symbols_in_windows(spark, d):
+    """Symbols that overlap each of a file's first six windows of 40 lines."""
+    rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
+    s = codegraph.symbols(rec).where("start_line <= end_line")
+    first = F.greatest(F.floor((F.col("start_line") - 1) / 40), F.lit(0))
+    w = s.select("file_id", F.explode(F.sequence(first, F.greatest(F.floor((F.col("end_line") - 1) / 40), first))).alias("window_no"))
+    return w.where("window_no < 6").groupBy("file_id", "window_no").agg(F.count("*").alias("n"))
