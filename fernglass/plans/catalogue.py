@@ -406,8 +406,7 @@ def topological_layers(spark, d):
 o AS (SELECT DISTINCT src AS node FROM c WHERE src = dst) SELECT node FROM o UNION SELECT c.dst FROM o JOIN c ON c.src = o.node""", "edges", recursive=True)
 def cycle_nodes(spark, d):
     """Nodes on or behind a cycle: those that no layer takes."""
-    e = edges(spark, d).where("src % 7 = dst % 7 OR src < dst")
-    return graph.layers(e, nodes(spark, d)).where("layer IS NULL").select("node")
+    return graph.layers(edges(spark, d), nodes(spark, d)).where("layer IS NULL").select("node")
 
 
 @query(", e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT [p_partkey] AS path, 0 AS hops FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT list_append(path, dst), hops + 1 FROM w JOIN e ON src = path[-1] WHERE hops < 3 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path, hops FROM w WHERE hops > 0", "edges", recursive=True)
