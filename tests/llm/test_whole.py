@@ -1,0 +1,25 @@
+"""Training-data queries on small inputs made to need the whole job, against brute force."""
+
+import random
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from fernglass.llm import queries
+
+
+def test_repetition_decided_by_share_alone(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"q{i}" for i in range(300)], k=200)) for _ in range(300)]
+    texts += [("one two three four five six seven eight nine. " * 30)] * 150
+    a, b = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    texts.append(" ".join(a + b + a))  # share 0.317; triples abstains, squeeze and vocabulary vote against
+
+    def share(text):
+        w = text.replace(".", " ").split()
+        runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        return 1 - len(set(runs)) / len(runs)
+
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), str(tmp_path / "documents.parquet"))
+    got = {r[0] for r in queries.p10_found(spark, str(tmp_path)).collect()}
+    assert got == {i for i, t in enumerate(texts) if share(t) >= 0.3} and len(texts) - 1 in got
