@@ -124,11 +124,12 @@ class PrefixForest:
             pairs = ordered.mapInArrow(lambda it, d=done: sketch.bucket_pairs(it, chunk, d), "a long, b long, upto long")
             if live is not None:
                 pairs = pairs.join(live, "b", "left_semi")
-            pairs = materialize(pairs.groupBy("a", "b").agg(F.max("upto").alias("upto")), "pairs")
+            pairs = materialize(pairs.groupBy("a", "b").agg(F.min("upto").alias("upto")), "pairs")
             found = verified(close_sketches(pairs, reps, self.threshold), texts, self.id_col, self.text_cols, reps.select("node", "id"), self.threshold).select("b", "a")
             found = found if best is None else found.union(best)
             best = materialize(found.groupBy("b").agg(F.min("a").alias("a")), "best")
-            open_ = pairs.where("upto IS NOT NULL").groupBy("b").agg(F.max("upto").alias("upto")).join(best, "b", "left").where("a IS NULL OR a > upto")
+            # a class stays open while any of its ranges has classes left before the best match
+            open_ = pairs.where("upto IS NOT NULL").groupBy("b").agg(F.min("upto").alias("upto")).join(best, "b", "left").where("a IS NULL OR a > upto")
             live = materialize(open_.select("b"), "live")
             if not live.limit(1).count():
                 break

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from fernglass.llm import queries
+from fernglass.llm import history, queries
 
 
 def test_repetition_decided_by_share_alone(spark, tmp_path):
@@ -23,3 +23,17 @@ def test_repetition_decided_by_share_alone(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), str(tmp_path / "documents.parquet"))
     got = {r[0] for r in queries.p10_found(spark, str(tmp_path)).collect()}
     assert got == {i for i, t in enumerate(texts) if share(t) >= 0.3} and len(texts) - 1 in got
+
+
+def test_first_repeat_in_ranges_longer_than_a_chunk(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # 8 repeats 3 and 5: 3 stands behind the first chunk of one range, 5 at the start of another that goes on behind it
+    ranges = spark.createDataFrame([(1, n) for n in (0, 1, 2, 3, 4, 8)] + [(2, n) for n in (5, 6, 7, 8)], "tree int, node long")
+    monkeypatch.setattr(history, "_keys", lambda signed, trees, m: signed.select("node").join(ranges, "node").select("tree", F.lit(1 << 60).alias("key"), "node"))
+    rows = [(i, " ".join([f"w{j}" for j in range(30)] + [f"x{i}"] if i in (3, 5, 8) else [f"y{i}_{j}" for j in range(30)])) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    forest = history.PrefixForest("id", ["body"], None, threshold=0.7).add(df.where("id < 8"))
+    for chunk in (100, 2):
+        got, _ = forest.match(df.where("id = 8"), chunk=chunk)
+        assert [tuple(r) for r in got.collect()] == [(8, 3)], chunk
