@@ -4,8 +4,10 @@ import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from fernglass.llm import history, queries
+from fernglass.llm.syntax.repair import Repairer
 
 
 def test_repetition_decided_by_share_alone(spark, tmp_path):
@@ -37,3 +39,22 @@ def test_first_repeat_in_ranges_longer_than_a_chunk(spark, monkeypatch):
     for chunk in (100, 2):
         got, _ = forest.match(df.where("id = 8"), chunk=chunk)
         assert [tuple(r) for r in got.collect()] == [(8, 3)], chunk
+
+
+CHAIN = "a" + "".join(f".b(x{i}).c(y)" for i in range(20))
+PAIRS = [(f"'k{i}'", str(i) if i % 2 else "'v'") for i in range(100)]
+LONG = [
+    ("java", "class A { void f() { x = %s; } }", CHAIN, CHAIN + "."),
+    ("js", "const x = %s;", CHAIN, CHAIN.replace(").c", ")c", 1)),
+    ("py", "x = {%s}\n", ", ".join(f"{k}: {v}" for k, v in PAIRS), ", ".join(f"{k}: {v}" for k, v in PAIRS) + ", 3"),
+    ("js", "const x = {%s};", ", ".join(f"{k}: {v}" for k, v in PAIRS), ", ".join(f"{k}: {v}" for k, v in PAIRS) + " 3"),
+    ("go", "package a\nvar x = map[string]any{%s}\n", ", ".join(f"{k}: {v}" for k, v in PAIRS).replace("'", '"'), ", ".join(f"{k} {v}" for k, v in PAIRS).replace("'", '"')),
+    ("py", "%s\n", "x = " + " + ".join(f"a{i} * {i}" for i in range(40)), " + ".join(f"a{i} * {i}" for i in range(40)) + " = 3"),
+]
+
+
+@pytest.mark.parametrize("lang,frame,good,bad", LONG)
+def test_long_units_are_parsed_whole(lang, frame, good, bad):
+    r = Repairer(lang)
+    assert r.repair(frame % good)[0] == 0
+    assert r.repair(frame % bad)[0] > 0
