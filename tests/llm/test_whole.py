@@ -58,3 +58,16 @@ def test_long_units_are_parsed_whole(lang, frame, good, bad):
     r = Repairer(lang)
     assert r.repair(frame % good)[0] == 0
     assert r.repair(frame % bad)[0] > 0
+
+
+ITEMS = [
+    ("js", "function f(1, a, b) {}"), ("js", "import {1, a, b} from 'm';"), ("js", "x = {1, a, b}"), ("js", "for (i; i; i; i) {}"), ("js", "for (a = 1; a = 1; a = 1; a = 1; a = 1) {}"),
+    ("py", "def f(1, a, b):\n    pass\n"), ("py", "1, a, b = g()\n"), ("py", "from m import a, 1, b, c\n"), ("py", "from m import (a, b, 's', c, d)\n"),
+]
+
+
+@pytest.mark.parametrize("lang,text", ITEMS)
+def test_no_item_of_a_list_goes_unparsed(lang, text):
+    r = Repairer(lang)
+    assert r.repair(text)[0] > 0
+    assert r.repair(text.replace("1, a", "a").replace(", 1", "").replace(", 's'", "").replace("; i; i; i", "; i; i").replace("; a = 1; a = 1; a = 1; a = 1", "; a = 1; a = 1"))[0] == 0
