@@ -645,9 +645,9 @@ def reach_reasons(spark, d):
 
 @query("SELECT w.file_id, w.window_no, count(*) AS n FROM (SELECT file_id, unnest(range(0, 6)) AS window_no FROM rec) w JOIN sym s ON s.file_id = w.file_id AND s.start_line <= w.window_no * 40 + 40 AND s.end_line >= w.window_no * 40 + 1 AND s.start_line <= s.end_line GROUP BY ALL", "rec sym")
 def symbols_in_windows(spark, d):
-    """Symbols that overlap each of a file's first six windows of 40 lines."""
+    """Symbols that overlap each of a file's windows of 40 lines."""
     rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
     s = codegraph.symbols(rec).where("start_line <= end_line")
     first = F.greatest(F.floor((F.col("start_line") - 1) / 40), F.lit(0))
     w = s.select("file_id", F.explode(F.sequence(first, F.greatest(F.floor((F.col("end_line") - 1) / 40), first))).alias("window_no"))
-    return w.where("window_no < 6").groupBy("file_id", "window_no").agg(F.count("*").alias("n"))
+    return w.groupBy("file_id", "window_no").agg(F.count("*").alias("n"))

@@ -37,3 +37,28 @@ def test_cycle_nodes_over_all_edges(spark, tmp_path):
     want = on | {x for k in on for x in reach[k]}
     assert 0 < len(want) < n
     assert rows(catalogue.cycle_nodes(spark, str(tmp_path))) == sorted(((k,) for k in want), key=repr)
+
+
+ASTS = pa.schema([
+    ("file_id", pa.int64()), ("path", pa.string()), ("imports", pa.list_(pa.struct([("path", pa.string()), ("alias", pa.string()), ("line", pa.int32())]))),
+    ("symbols", pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))),
+    ("calls", pa.list_(pa.struct([("callee", pa.string()), ("line", pa.int32())]))),
+])
+
+
+def parsed(file_id, path, symbols=(), calls=(), imports=()):
+    return {
+        "file_id": file_id, "path": path, "imports": [{"path": m, "alias": None, "line": 1} for m in imports],
+        "symbols": [{"kind": "function", "name": n, "start_line": a, "end_line": b} for n, a, b in symbols], "calls": [{"callee": c, "line": at} for c, at in calls],
+    }
+
+
+def test_symbols_in_all_windows(spark, tmp_path):
+    spans = [("a", 1, 45), ("b", 230, 290), ("c", 1000, 1001), ("d", 281, 320)]
+    put(tmp_path, "file_asts", [parsed(1, "a.py", spans)], ASTS)
+    want = {}
+    for w in range(30):
+        n = sum(lo <= w * 40 + 40 and hi >= w * 40 + 1 for _, lo, hi in spans)
+        if n:
+            want[(1, w)] = n
+    assert {(f, w): n for f, w, n in rows(catalogue.symbols_in_windows(spark, str(tmp_path)))} == want and (1, 25) in want
