@@ -425,8 +425,10 @@ def enclosing_function(spark, d):
 def call_resolution(spark, d):
     rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
     within = codegraph.enclosing(codegraph.calls(rec), codegraph.symbols(rec))
-    none = rec.select("file_id", F.col("file_id").alias("to_file")).where("false")
-    return codegraph.resolve_calls(within, codegraph.symbols(rec), none)
+    files = table(spark, d, "files", "path")
+    to = rec.select(F.col("path").alias("target"), F.col("file_id").alias("to_file"))
+    links = codegraph.resolve_imports(codegraph.imports(rec), files).join(to, "target").select("file_id", "to_file")
+    return codegraph.resolve_calls(within, codegraph.symbols(rec), links)
 
 
 @query(r""", i AS (SELECT file_id, n - 1 AS import_no, trim(m.path) AS imp, p FROM (SELECT file_id, x.path AS p, unnest(x.imports) AS m, unnest(range(1, len(x.imports) + 1)) AS n FROM rec) WHERE trim(m.path) <> ''),

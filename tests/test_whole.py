@@ -62,3 +62,16 @@ def test_symbols_in_all_windows(spark, tmp_path):
         if n:
             want[(1, w)] = n
     assert {(f, w): n for f, w, n in rows(catalogue.symbols_in_windows(spark, str(tmp_path)))} == want and (1, 25) in want
+
+
+def test_calls_resolve_to_imported_files(spark, tmp_path):
+    asts = [
+        parsed(1, "p/main.py", [("go", 1, 9), ("own", 20, 21)], [("lib.load", 3), ("own", 4), ("far", 5)], ["p.lib"]),
+        parsed(2, "p/lib.py", [("load", 1, 2), ("own", 3, 4)]),
+        parsed(3, "q/other.py", [("load", 1, 2), ("own", 3, 4), ("far", 5, 6)]),
+        parsed(4, "q/alone.py", [("run", 1, 9)], [("load", 2)], ["missing.thing"]),
+    ]
+    put(tmp_path, "file_asts", asts, ASTS)
+    put(tmp_path, "files", [{"path": a["path"]} for a in asts], pa.schema([("path", pa.string())]))
+    want = [(1, "go", 1, "own"), (1, "go", 2, "load"), (1, "go", 2, "own"), (1, "go", 3, "far"), (4, "run", 2, "load"), (4, "run", 3, "load")]
+    assert rows(catalogue.call_resolution(spark, str(tmp_path)).select("file_id", "caller", "to_file", "callee")) == want
