@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +33,43 @@ def pool_scores(sampled: DataFrame, score: str = "score", hit: str = "hit") -> D
     return sampled.groupBy(F.col(score).alias("x")).agg(F.count("*").alias("n"), F.sum(F.col(hit).cast("long")).alias("hits"))
 
 
-def isotonic_fit(pooled: DataFrame, digits: int = 4, max_knots: int = 1_000_000) -> list[tuple[float, float]]:
-    """Knots (x, y) of the non-decreasing fit by pooling adjacent violators.
+def _pooled_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks (lo, hi, n, hits, scores) of adjacent violators in rows of one range in ascending order."""
+    blocks: list[list] = []
+    for pdf in batches:
+        for lo, hi, n, h, c in zip(*(pdf[k].tolist() for k in ("lo", "hi", "n", "hits", "scores"))):
+            blocks.append([lo, hi, n, h, c])
+            while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+                _, hi_, n_, h_, c_ = blocks.pop()
+                last = blocks[-1]
+                blocks[-1] = [last[0], hi_, last[2] + n_, last[3] + h_, last[4] + c_]
+    yield pd.DataFrame(blocks, columns=["lo", "hi", "n", "hits", "scores"]).astype({"lo": "float64", "hi": "float64", "n": "int64", "hits": "int64", "scores": "int64"})
+
 
-    Scores are pooled on the cluster; where there are more than max_knots of them they are rounded to digits first, which
-    bounds what the driver holds. No samples give no knots.
+def isotonic_blocks(pooled: DataFrame) -> list[tuple[float, float, float]]:
+    """(lo, hi, y): the blocks of the non-decreasing fit by pooling adjacent violators, exact for any number of scores.
+
+    Each range of scores is pooled on the cluster; only its blocks, whose values ascend, reach the driver and are pooled on.
+    Blocks of adjacent violators of a range are blocks of the whole or parts of them.
     """
-    if pooled.count() > max_knots:
-        pooled = pooled.groupBy(F.round("x", digits).alias("x")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    rows = sorted((r["x"], r["n"], r["hits"]) for r in pooled.collect())
-    blocks: list[list[float]] = []  # weight, hits, number of scores
-    for _, n, h in rows:
-        blocks.append([n, h, 1])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            w, s, c = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + c]
-    fitted = np.repeat([s / w for w, s, _ in blocks], [int(c) for *_, c in blocks]) if blocks else []
-    return [(x, float(y)) for (x, _, _), y in zip(rows, fitted)]
+    rows = pooled.select(F.col("x").cast("double").alias("lo"), F.col("x").cast("double").alias("hi"), F.col("n").cast("long").alias("n"), F.col("hits").cast("long").alias("hits"), F.lit(1).cast("long").alias("scores"))
+    parts = rows.repartitionByRange("lo").sortWithinPartitions("lo").mapInPandas(_pooled_blocks, "lo double, hi double, n long, hits long, scores long").toPandas()
+    whole = next(_pooled_blocks(iter([parts.sort_values("lo")])))
+    return [(lo, hi, h / n) for lo, hi, n, h in zip(*(whole[k].tolist() for k in ("lo", "hi", "n", "hits")))]
+
+
+def isotonic_fit(pooled: DataFrame) -> list[tuple[float, float]]:
+    """Knots (x, y) of the non-decreasing fit by pooling adjacent violators, one for each distinct score; none without samples."""
+    blocks = isotonic_blocks(pooled)
+    his = np.array([hi for _, hi, _ in blocks])
+    xs = sorted(float(r["x"]) for r in pooled.select("x").collect())
+    return [(x, float(blocks[i][2])) for x, i in zip(xs, np.searchsorted(his, xs).tolist())]
+
+
+def fitted(pooled: DataFrame) -> DataFrame:
+    """(x, y): the same fit as a table, whose scores stay on the cluster."""
+    blocks = pooled.sparkSession.createDataFrame(isotonic_blocks(pooled), "lo double, hi double, y double")
+    return pooled.select(F.col("x").cast("double").alias("x")).join(blocks, F.col("x").between(F.col("lo"), F.col("hi"))).select("x", "y")
 
 
 def interpolated(score: Column, knots: list[tuple[float, float]]) -> Column:

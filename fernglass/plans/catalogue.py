@@ -482,9 +482,8 @@ def calibration_samples(spark, d):
 @query(SAMPLES + ", u AS (SELECT round(x, 2) AS x, sum(n) AS n, sum(hits) AS hits FROM s GROUP BY round(x, 2))" + PAV.replace("FROM s)", "FROM u)") + " SELECT x, round(y, 9) AS y FROM fit", "v")
 def calibration_fit(spark, d):
     f, t = labelled(spark, d)
-    pooled = evaluate.pool_scores(evaluate.samples(f.withColumn("score", F.round("score", 2)), t, ["file", "cwe"]).where("score <> 0"))
-    knots = evaluate.isotonic_fit(pooled)
-    return spark.createDataFrame([(x, round(y, 9)) for x, y in knots], "x double, y double")
+    pooled = materialize(evaluate.pool_scores(evaluate.samples(f, t, ["file", "cwe"])), "scores")
+    return evaluate.fitted(pooled).select("x", F.round("y", 9).alias("y"))
 
 
 SQL["calibration_fit"] = SQL["calibration_fit"].replace("GROUP BY round(x, 2))", "GROUP BY round(x, 2) HAVING round(x, 2) <> 0)")

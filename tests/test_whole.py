@@ -1,8 +1,11 @@
 """Queries on small tables of their own, against brute force over all rows."""
 
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from fernglass.operators import evaluate
 from fernglass.plans import catalogue
 
 
@@ -75,3 +78,26 @@ def test_calls_resolve_to_imported_files(spark, tmp_path):
     put(tmp_path, "files", [{"path": a["path"]} for a in asts], pa.schema([("path", pa.string())]))
     want = [(1, "go", 1, "own"), (1, "go", 2, "load"), (1, "go", 2, "own"), (1, "go", 3, "far"), (4, "run", 2, "load"), (4, "run", 3, "load")]
     assert rows(catalogue.call_resolution(spark, str(tmp_path)).select("file_id", "caller", "to_file", "callee")) == want
+
+
+def test_calibration_fit_of_scores_as_they_are(spark):
+    rng = random.Random(5)
+    pooled = [(k / 1000, rng.randrange(1, 6)) for k in sorted(rng.sample(range(1, 1000), 90))]
+    pooled = [(x, n, sum(rng.random() < x for _ in range(n))) for x, n in pooled]
+    want = []
+    for i in range(len(pooled)):  # min-max form
+        low = [min(sum(h for *_, h in pooled[b : c + 1]) / sum(n for _, n, _ in pooled[b : c + 1]) for c in range(i, len(pooled))) for b in range(i + 1)]
+        want.append((pooled[i][0], round(max(low), 9)))
+    df = spark.createDataFrame(pooled, "x double, n long, hits long").repartition(3)
+    assert [(x, round(y, 9)) for x, y in evaluate.isotonic_fit(df)] == want
+    assert sorted((x, round(y, 9)) for x, y in evaluate.fitted(df).collect()) == want
+    assert evaluate.isotonic_fit(df.where("false")) == []
+
+
+FINDINGS = pa.schema([("finding_id", pa.int64()), ("file", pa.string()), ("cwe", pa.string()), ("score", pa.float64()), ("verified", pa.bool_())])
+
+
+def test_calibration_fit_keeps_three_digits(spark, tmp_path):
+    data = [(1, "f", 0.001, True), (2, "g", 0.002, False), (3, "h", 0.501, False), (4, "i", 0.502, True)]
+    put(tmp_path, "findings", [{"finding_id": i, "file": f, "cwe": "A", "score": s, "verified": v} for i, f, s, v in data], FINDINGS)
+    assert rows(catalogue.calibration_fit(spark, str(tmp_path))) == [(0.001, 0.333333333), (0.002, 0.333333333), (0.501, 0.333333333), (0.502, 1.0)]
