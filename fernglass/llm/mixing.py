@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +19,7 @@ from fernglass.session import materialize
 
 #: The word pattern that goes with the byte-level vocabularies (a fixed value of theirs).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Slots of a source's sampling order that the driver holds; the cut falls into one of them and is then made exactly.
+#: Slots of a source's sampling order; the cut falls into one of them and is then made exactly.
 SLOTS = 1024
 
 
@@ -43,81 +41,59 @@ def token_counts(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id",
     return sel.mapInArrow(run, schema)
 
 
-@dataclass(frozen=True)
-class Share:
-    """What a source has (tokens), may at most bring (cap), and is to bring (amount)."""
+def levels(sizes: DataFrame, total: float | None = None) -> DataFrame:
+    """sizes (source, w, k, tokens) with cap and amount: what each source is to bring, by capped water-filling.
 
-    source: str
-    target: float
-    tokens: int
-    cap: float
-    amount: float
-
-
-def water_fill(sources: Sequence[tuple[str, float, int, int]], total: float | None = None) -> list[Share]:
-    """The amounts of (source, target share, tokens, max repeats); total is the mixture's size, by default all their tokens.
-
-    Sources over their cap are clamped, and what they lack is spread over the rest in proportion to their targets, again
-    and again. If all are clamped the mixture is smaller than total. Negative and NULL numbers count as 0, and targets
-    are scaled to sum to 1.
+    The amount is least(cap, level * w), cap being k * tokens. The level starts at total / sum of w; sources over their cap
+    are clamped, and what they lack raises the level of the rest, until nobody is over: each round is one aggregate, and
+    rounds end because each clamps a further source. If all are clamped the mixture is smaller than total, by default all
+    tokens. Negative and NULL numbers count as 0; without any weight all amounts are 0.
     """
-    rows = [(s, max(0.0, w or 0.0), max(0, n or 0), max(0, k or 0)) for s, w, n, k in sources]
-    weight = sum(w for _, w, _, _ in rows) or 1.0
-    total = float(sum(n for _, _, n, _ in rows)) if total is None else total
-    caps = {s: float(n * k) for s, _, n, k in rows}
-    amount, free, left = {}, {s: w / weight for s, w, _, _ in rows}, total
-    while free:
-        scale = sum(free.values())
-        over = [s for s, w in free.items() if w == 0 or left * w / scale >= caps[s]]
-        if not over:
-            amount.update({s: left * w / scale for s, w in free.items()})
+    number = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
+    s = sizes.withColumns({c: number(c) for c in ("w", "k", "tokens")}).withColumn("cap", (F.col("k") * F.col("tokens")).cast("double"))
+    s = materialize(s, "sizes")
+    level = None
+    while True:
+        over = (F.col("w") > 0) & (F.col("cap") <= F.lit(level) * F.col("w")) if level is not None else F.lit(False)
+        got = s.agg(F.sum("tokens").alias("all"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("free")).first()
+        size = float(got["all"] or 0) if total is None else float(total)
+        new = (size - got["full"]) / got["free"] if got["free"] else None
+        if new is None or level is not None and new <= level * (1 + 1e-12):
             break
-        for s in over:
-            amount[s] = caps[s] if free.pop(s) else 0.0
-        left = total - sum(amount.values())
-    return [Share(s, w / weight, n, caps[s], max(0.0, amount[s])) for s, w, n, _ in rows]
+        level = new
+    return s.withColumn("amount", F.when(F.col("w") > 0, F.least("cap", F.lit(level) * F.col("w"))).otherwise(0.0)) if level is not None else s.withColumn("amount", F.lit(0.0))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str, total: float | None = None, seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, tokens, repeats) of each document used, (source, target_share, max_repeats, tokens, amount, used, share)).
 
-    targets has (source, target_share, max_repeats), a few rows by nature (it is collected; 10,000 at most). Documents of
-    other or NULL sources are not used. All of a source's documents are used floor(amount / tokens) times, and those first
-    in a seeded order once more until the amount is reached, so no source misses its amount by more than one document, and no
-    document is used more than max_repeats times. Sources without tokens have share 0.
+    targets has (source, target_share, max_repeats). Documents of other or NULL sources are not used, nor are those without
+    tokens. All of a source's documents are used floor(amount / tokens) times, and those first in a seeded order once more
+    until the amount is reached, so no source misses its amount by more than one document, and no document is used more
+    than max_repeats times. Sources without tokens have share 0. Any number of sources will do: sizes, levels and cuts are
+    tables, of which the driver sees one row of sums a round.
     """
-    plan = targets.select(F.col(source).alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("k")).limit(10_001).collect()
-    if len(plan) > 10_000:
-        raise ValueError("more than 10,000 sources")
-    spark = documents.sparkSession
-    names = spark.createDataFrame([(r["source"],) for r in plan], "source string")
-    counted = token_counts(documents.withColumn("source", F.col(source)), vocabulary, doc_id, text, ("source",)).join(F.broadcast(names), "source")
+    plan = targets.select(F.col(source).alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("k"))
+    counted = token_counts(documents.withColumn("source", F.col(source)), vocabulary, doc_id, text, ("source",)).join(plan.select("source"), "source", "left_semi")
     order = F.xxhash64("doc_id", F.lit(seed))
-    counted = materialize(counted.withColumn("slot", F.pmod(order, F.lit(SLOTS)).cast("int")).withColumn("order", order), "tokens")
-    slots = counted.groupBy("source", "slot").agg(F.sum("tokens").alias("n")).collect()  # sources x SLOTS rows at most
-    size = {r["source"]: np.zeros(SLOTS, np.int64) for r in plan}
-    for r in slots:
-        size[r["source"]][r["slot"]] = r["n"]
-    shares = water_fill([(r["source"], r["w"], int(size[r["source"]].sum()), r["k"]) for r in plan], total)
-    cuts = []
-    for s in shares:
-        whole = int(s.amount // s.tokens) if s.tokens else 0
-        rest = s.amount - whole * s.tokens
-        cum = np.cumsum(size[s.source])
-        cut = int(np.searchsorted(cum, rest, side="right")) if s.tokens else 0
-        before = int(cum[cut - 1]) if cut else 0
-        cuts.append((s.source, whole, cut, float(rest - before)))
-    cut = F.broadcast(spark.createDataFrame(cuts, "source string, whole int, cut int, room double"))
-    placed = counted.join(cut, "source")
+    counted = materialize(counted.where("tokens > 0").withColumn("slot", F.pmod(order, F.lit(SLOTS)).cast("int")).withColumn("order", order), "tokens")
+    slots = materialize(counted.groupBy("source", "slot").agg(F.sum("tokens").alias("n")), "slots")  # sources x SLOTS rows at most
+    share = levels(plan.join(slots.groupBy("source").agg(F.sum("n").alias("tokens")), "source", "left"), total)
+    whole = F.coalesce(F.floor(F.try_divide(F.col("amount"), F.col("tokens"))), F.lit(0)).cast("int")
+    share = materialize(share.withColumn("whole", F.least(whole, F.col("k").cast("int"))).withColumn("rest", F.col("amount") - F.col("whole") * F.col("tokens")), "amounts")
+    cum = F.sum("n").over(Window.partitionBy("source").orderBy("slot"))  # SLOTS rows a source
+    ends = slots.join(share.where("rest > 0 AND whole < k").select("source", "rest"), "source").withColumn("cum", cum).where("cum > rest")
+    cuts = ends.groupBy("source").agg(F.min("slot").alias("cut"), F.min(F.struct("slot", F.col("rest") - F.col("cum") + F.col("n")))["col2"].alias("room"))
+    placed = counted.join(materialize(share.select("source", "whole").join(cuts, "source", "left"), "cuts"), "source")
     edge = placed.where("slot = cut")
     ahead = F.sum("tokens").over(Window.partitionBy("source").orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("extra", (ahead <= F.col("room")).cast("int"))
-    rest = placed.where("slot <> cut").withColumn("extra", (F.col("slot") < F.col("cut")).cast("int"))
+    rest = placed.where("cut IS NULL OR slot <> cut").withColumn("extra", F.coalesce((F.col("slot") < F.col("cut")).cast("int"), F.lit(0)))
     used = rest.unionByName(edge).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("repeats")).where("repeats > 0")
-    limits = {r["source"]: r["k"] for r in plan}
-    planned = spark.createDataFrame([(s.source, s.target, limits[s.source], s.tokens, s.amount) for s in shares], "source string, target_share double, max_repeats int, tokens long, amount double")
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"))
-    report = planned.join(F.broadcast(got), "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    everything = F.sum("used").over(Window.partitionBy())  # one row per source
+    weights = F.sum("w").over(Window.partitionBy())  # one row per source
+    report = share.select("source", F.coalesce(F.try_divide(F.col("w"), weights), F.lit(0.0)).alias("target_share"), F.col("k").cast("int").alias("max_repeats"), F.col("tokens").cast("long").alias("tokens"), "amount")
+    report = report.join(got, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    everything = F.sum("used").over(Window.partitionBy())
     report = report.withColumn("share", F.coalesce(F.try_divide(F.col("used"), everything), F.lit(0.0)))
     return used, report

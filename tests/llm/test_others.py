@@ -91,12 +91,28 @@ def test_truth_inference_recovers_sources(spark):
     assert rates["good"][0] > rates["fair"][0] > rates["poor"][0]
 
 
-def test_water_filling():
-    s = {x.source: x.amount for x in mixing.water_fill([("a", 0.5, 100, 1), ("b", 0.25, 1000, 1), ("c", 0.25, 1000, 1)], 1000)}
-    assert s == {"a": 100.0, "b": 450.0, "c": 450.0}
-    s = {x.source: x.amount for x in mixing.water_fill([("a", 0.5, 100, 2), ("b", 0.5, 50, 1)], 1000)}
-    assert s == {"a": 200.0, "b": 50.0}
-    assert [x.amount for x in mixing.water_fill([("a", 0.0, 10, 1), ("b", None, 10, None)])] == [0.0, 0.0]
+def test_water_filling(spark):
+    def amounts(rows, total=None):
+        return {r["source"]: r["amount"] for r in mixing.levels(spark.createDataFrame(rows, "source string, w double, tokens long, k int"), total).collect()}
+
+    s = amounts([("a", 0.5, 100, 1), ("b", 0.25, 1000, 1), ("c", 0.25, 1000, 1)], 1000)
+    assert s["a"] == 100 and s["b"] == pytest.approx(450) and s["c"] == pytest.approx(450)
+    assert amounts([("a", 0.5, 100, 2), ("b", 0.5, 50, 1)], 1000) == {"a": 200.0, "b": 50.0}
+    assert amounts([("a", 0.0, 10, 1), ("b", None, 10, None)]) == {"a": 0.0, "b": 0.0}
+    many = amounts([(f"s{i}", 1.0 + i % 7, 10 * i, 1) for i in range(12_000)], 1e8)  # any number of sources
+    assert len(many) == 12_000 and sum(many.values()) == pytest.approx(1e8)
+
+
+def test_mixture_keeps_its_cap(spark):
+    texts = [(i, "a", "" if i % 3 else None) for i in range(9)] + [(10 + i, "a", f"some words {i}") for i in range(5)] + [(100 + i, "b", f"other words by {i}") for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    used, report = mixing.mixture(df, t, "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    rows = used.collect()
+    assert {r["doc_id"] for r in rows if r["source"] == "a"} == {10, 11, 12, 13, 14} and all(r["repeats"] == 2 for r in rows if r["source"] == "a")
+    assert all(r["repeats"] <= 3 and r["tokens"] > 0 for r in rows)
+    a = {r["source"]: r for r in report.collect()}
+    assert a["a"]["used"] == a["a"]["amount"] == 2 * a["a"]["tokens"] and 0 <= a["b"]["amount"] - a["b"]["used"] < 8
 
 
 def test_mixture(spark):
