@@ -1,12 +1,12 @@
 """Credentials in source text: found over the whole corpus, and masked without changing anything else.
 
-1. Index: every text brings its literals with the evidence that the context gives (a name that speaks of a password, an
-   address with a password in it, an authorization header, a private key, a value of a token's shape), and the hashes of
-   all other literals that could be one.
-2. Corpus: a value is confirmed if some context speaks for it and few owners have it; one that many unrelated owners
-   share is a placeholder or a sample out of a manual.
-3. Re-scan: texts that hold a confirmed value in any literal are searched for all of their confirmed values by an
-   automaton, so that a value confirmed by one place is found and masked in all others.
+1. Index: every text brings its literals, and the evidence that a context gives for some of them (a name that speaks of a
+   password, an address with a password in it, an authorization header, a private key, a command's flag, a note in a
+   comment, a value of a token's shape).
+2. Corpus: owners are counted over all literals of a value. A value that a context speaks for is confirmed unless many
+   unrelated owners have it: such a one is a placeholder or a sample out of a manual.
+3. Re-scan: every text is searched for all confirmed values by one automaton, so that a value confirmed by one place is
+   found and masked in all others, whatever surrounds it there.
 """
 
 from __future__ import annotations
@@ -17,17 +17,23 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernglass.llm.sketch import mix
 from fernglass.session import materialize
 
-#: Keys of texts with credentials are broadcast up to this count (about 40 bytes each), and joined by shuffle beyond.
-BROADCAST_ROWS = 300_000
-#: A value of more owners than this is taken for a placeholder.
-MAX_OWNERS = 12
+#: Confirmed values are broadcast as one automaton up to this count; beyond, texts and values meet by a join on eight bytes.
+MAX_PATTERNS = 100_000
+#: A value is taken for a placeholder if more owners than this, and more than OWNER_SHARE of all owners, have it.
+MAX_OWNERS, OWNER_SHARE = 12, 0.02
+#: Of longer values the automaton holds the last TAIL characters, the rest is compared where those are found.
+TAIL = 64
+#: Bits of the filter that tells which eight bytes can end a confirmed value (beyond MAX_PATTERNS).
+FILTER_BITS = 26
 
 _NOT_KEY = re.compile(r"(?i)(?:^|_)(?:pub|public|primary|foreign|sort|partition|cache|row|index|map|object|bucket|chunk|dict|lookup|group|host|idempotency|routing|shard)_?key$|(?:^|_)(?:next|page|csrf_field)_?token$")
 _STRING = r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
@@ -46,6 +52,11 @@ _NOTE = re.compile(r"(?i)\b(?:credentials?|login|password|passwd)\b[^\n:=\"']{0,
 _NOTE_WORD = re.compile(r"(?i)credential|login|passw")
 _SHAPED = re.compile(r"(?<![A-Za-z0-9_.\-/+=])[a-z]{2,8}(?:[-_.][a-z0-9]{1,6})?[-_.](?=[a-z0-9]{0,40}[A-Z])(?=[A-Z0-9]{0,40}[a-z])[A-Za-z0-9]{18,}(?![A-Za-z0-9_.\-/+=])")
 _LITERAL = re.compile(r"(?<=[\"'`\s,;()\[\]{}<>:=@])(?=[^\s\"'`,;()\[\]{}<>@]*[0-9][^\s\"'`,;()\[\]{}<>@]*)[^\s\"'`,;()\[\]{}<>@]{8,}|(?<=[\"'`])[^\s\"'`]{8,}(?=[\"'`])")
+_COMMENT = re.compile(r"#|//|--|/\*|<!--|^\s*[*;]")
+_PROSE_WORD = re.compile(r"(?i)\b(?:pw|pwd|pass|passwd|passwords?|passphrase|passcode|secret|token|(?:api|access|secret|private)[ _-]?key|login|logon|credentials?|creds)\b")
+_PROSE = re.compile(r"(?:(?<=\s)(?:is|was|are)|[:=/]|->)[ \t]+[\"'`]?([^\s\"'`,;]{8,})")
+_COMMAND = re.compile(r"""(?i)\b(?:sshpass[ \t]+-p|(?:mysql|mysqldump|mariadb|7z)\b[^\n|;]*?[ \t]-p(?=[^ \t])|redis-cli\b[^\n|;]*?[ \t]-a|unzip[ \t]+-P|(?:docker|podman|helm|oc|az)\b[^\n|;]*?\blogin\b[^\n|;]*?[ \t]-p|(?:curl|wget|http)\b[^\n|;]*?[ \t](?:-u|--user)[ \t=]+["']?[^\s:"']+:|-pass(?:in|out)?[ \t]+pass:)[ \t]*["']?([^\s"'`|;<>()]{6,})""")
+_COMMAND_WORD = re.compile(r"(?i)sshpass|mysql|mariadb|7z|redis-cli|unzip|login|curl|wget|http|-pass")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 _REFERENCE = re.compile(r"(?i)^(?:\$|%\w+%|\{\{|<|@|#\{|vault:|sm://|ssm:|ref\+|secret://|secrets?[:/]|kms:|env[:.]|file:|op://|arn:|keyring:|config:|https?://[^@]*$|/|\./)|\$\{|\{\{|process\.env|os\.environ|getenv")
@@ -56,7 +67,7 @@ _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|blake2b?|sha)[-:]|^[0-9a-f]{8}-(?:[0-9
 
 def plausible(value: str, least: int = 8) -> bool:
     """Whether a literal can be a secret: long, without blanks, no reference, placeholder, digest, id or plain words."""
-    if not least <= len(value) <= 4096 or re.search(r"\s", value) or _REFERENCE.search(value) or _HOLDER.search(value) or _DIGEST.search(value):
+    if len(value) < least or re.search(r"\s", value) or _REFERENCE.search(value) or _HOLDER.search(value) or _DIGEST.search(value):
         return False
     if len(set(value)) < 5 or _WORDS.fullmatch(value):
         return False
@@ -64,25 +75,47 @@ def plausible(value: str, least: int = 8) -> bool:
     return any(c.isdigit() for c in value) or any(not c.isalnum() and c not in "-_. /" for c in value) and turns > 1 or turns >= 4
 
 
+def _places(low: str, words: tuple[str, ...]) -> list[int]:
+    """Where one of the words begins."""
+    places = set()
+    for word in words:
+        at = low.find(word)
+        while at >= 0:
+            places.add(at)
+            at = low.find(word, at + 1)
+    return sorted(places)
+
+
 def _keyed(text: str) -> Iterator[re.Match]:
     """The matches of _KEYED, tried only where one of its words begins."""
     low = text.lower()
     if len(low) != len(text):
         yield from _KEYED.finditer(text)
         return
-    places = []
-    for word in _WORDS_OF_KEYS:
-        at = low.find(word)
-        while at >= 0:
-            places.append(at)
-            at = low.find(word, at + 1)
     end = 0
-    for at in sorted(set(places)):
+    for at in _places(low, _WORDS_OF_KEYS):
         if at >= end and (m := _KEYED.match(text, at)):
             end = m.end()
             yield m
 
 
+def _noted(text: str) -> Iterator[tuple[int, int]]:
+    """Values that a comment tells in prose: pw for the x box is VALUE, login user / VALUE."""
+    done = -1
+    for m in _PROSE_WORD.finditer(text):
+        if m.start() < done:
+            continue
+        first = text.rfind("\n", 0, m.start()) + 1
+        done = text.find("\n", m.end())
+        done = len(text) if done < 0 else done
+        if not _COMMENT.search(text[first : m.start()]):
+            continue
+        for v in _PROSE.finditer(text, m.end(), done):
+            value = v[1].rstrip(".)")
+            if re.search(r"\d", value) and plausible(value) and not re.search(r"[(\[{]|://|\.\w+\.|/\w+/", value):
+                yield v.start(1), v.start(1) + len(value)
+
+
 def _inner(literal: str) -> tuple[int, int]:
     q = 3 if literal[:3] in ('"""', "'''") and len(literal) >= 6 else 1
     return q, len(literal) - q
@@ -112,6 +145,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         value = "".join(text[a:b] for a, b in pieces)
         if plausible(value) and not _AUTH.match(value) and "-----BEGIN" not in value:
             out.extend((a, b, value) for a, b in pieces if b > a)
+    for a, b in _noted(text):
+        out.append((a, b, text[a:b]))
+    for m in _COMMAND.finditer(text) if _COMMAND_WORD.search(text) else ():
+        if plausible(m[1], 6):
+            out.append((m.start(1), m.end(1), m[1]))
     for m in _FLAG.finditer(text) if "-" in text else ():
         if plausible(m[1]):
             out.append((m.start(1), m.end(1), m[1]))
@@ -133,10 +171,13 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     for m in _JWT.finditer(text) if "eyJ" in text else ():
         out.append((m.start(), m.end(), m[0]))
     for m in _CLOUD.finditer(text) if any(x in text for x in ("AKIA", "ASIA", "AGPA", "AIDA", "AROA")) else ():
-        line = text.find("\n", m.end())
-        p = _PAIR.search(text, m.end(), line if line >= 0 else len(text))
-        if p:
-            out.append((p.start(), p.end(), p[0]))
+        line = m.end()
+        for _ in range(3):  # its own line and the two after it
+            line = text.find("\n", line) + 1 or len(text)
+        for p in _PAIR.finditer(text, m.end(), line):
+            if re.search(r"[a-z]", p[0]) and re.search(r"[A-Z]", p[0]):
+                out.append((p.start(), p.end(), p[0]))
+                break
     for m in _NOTE.finditer(text) if _NOTE_WORD.search(text) else ():
         if plausible(m[1]):
             out.append((m.start(1), m.end(1), m[1]))
@@ -150,17 +191,43 @@ def _hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value) - (1 << 63)
 
 
+def patterns(text: str) -> list[tuple[str, str, tuple[int, ...]]]:
+    """(value, pattern, marks) of each credential that a context shows: what to search for, and the parts of it to cover.
+
+    marks holds starts and ends within the pattern, one after another. The pattern of a value in pieces goes from its first
+    piece to its last, and a value below eight characters is searched with the characters beside it.
+    """
+    out, at = [], 0
+    found = spans(text)
+    while at < len(found):
+        end = at + 1
+        while end < len(found) and found[end][2] == found[at][2] and found[end][0] >= found[end - 1][1] and "\n" not in text[found[end - 1][1] : found[end][0]] and found[at][2] != text[found[at][0] : found[at][1]]:
+            end += 1
+        first, last, value = found[at][0], found[end - 1][1], found[at][2]
+        lead = 1 if last - first < 8 and first else 0
+        trail = 1 if last - first < 8 and last < len(text) else 0
+        marks = tuple(x - first + lead for s, e, _ in found[at:end] for x in (s, e))
+        if last - first + lead + trail >= 8:
+            out.append((value, text[first - lead : last + trail], marks))
+        at = end
+    return out
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("owner", pa.string()), ("h", pa.int64()), ("pattern", pa.string())])
+    schema = pa.schema([("owner", pa.string()), ("h", pa.int64()), ("pattern", pa.string()), ("marks", pa.list_(pa.int32()))])
     for batch in batches:
         out: list[tuple] = []
-        for tbl, row, owner, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        seen: set[tuple[str | None, int]] = set()
+        for owner, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
             if not text:
                 continue
-            for a, b, value in spans(text):
-                out.append((tbl, row, owner, _hash(value), text[a:b]))
-            out.extend((tbl, row, None, _hash(x), None) for x in set(_LITERAL.findall(text)))
-        cols = list(zip(*out)) or [[]] * 5
+            for value, pattern, marks in patterns(text):
+                out.append((owner, _hash(value), pattern, marks))
+            if owner is not None:
+                seen.update((owner, _hash(x)) for x in set(_LITERAL.findall(text)))
+        out.extend((owner, h, None, None) for owner, h in seen)
+        cols = list(zip(*out)) or [[]] * 4
         yield pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
@@ -168,18 +235,31 @@ def _edge(text: str, at: int) -> bool:
     return not (0 <= at < len(text)) or not text[at].isalnum()
 
 
-def locate(text: str, patterns: list[str]) -> list[tuple[int, int]]:
-    """(start, end) of each pattern's places in the text that no letter or digit continues, without overlaps, the longest first."""
+def automaton(wanted: list[tuple[str, tuple[int, ...]]]) -> ahocorasick.Automaton:
+    """The search for (pattern, marks): each word's value is the patterns that end with it."""
+    tails: dict[str, list[tuple[str, tuple[int, ...]]]] = {}
+    for pattern, marks in wanted:
+        tails.setdefault(pattern[-TAIL:], []).append((pattern, tuple(marks)))
     a = ahocorasick.Automaton()
-    for p in patterns:
-        a.add_word(p, len(p))
+    for tail, ones in tails.items():
+        a.add_word(tail, ones)
     a.make_automaton()
-    found = [(end - n + 1, end + 1) for end, n in a.iter(text)]
-    found = [(s, e) for s, e in found if (_edge(text, s - 1) or not text[s].isalnum()) and (_edge(text, e) or not text[e - 1].isalnum())]
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+    return a
+
+
+def locate(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(start, end, marks) of the patterns' places in the text that no letter or digit continues, without overlaps, the longest first."""
+    found = []
+    for end, ones in a.iter(text) if len(a) else ():
+        for pattern, marks in ones:
+            s, e = end + 1 - len(pattern), end + 1
+            if s >= 0 and (len(pattern) <= TAIL or text.startswith(pattern, s)):
+                if (_edge(text, s - 1) or not text[s].isalnum()) and (_edge(text, e) or not text[e - 1].isalnum()):
+                    found.append((s, e, marks))
+    out: list[tuple[int, int, tuple[int, ...]]] = []
+    for s, e, marks in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
-            out.append((s, e))
+            out.append((s, e, marks))
     return out
 
 
@@ -192,37 +272,107 @@ def mask(text: str, places: list[tuple[int, int]], fill: str = "*") -> str:
     return "".join(parts) + text[last:]
 
 
-def _rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("lines", pa.list_(pa.int64())), ("masked", pa.string())])
-    for batch in batches:
-        out: list[tuple] = []
-        for tbl, row, text, patterns in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            places = locate(text, patterns)
-            lines, at, line = [], 0, 1
-            for s, _ in places:
-                line += text.count("\n", at, s)
-                at = s
-                lines.append(line)
-            out.append((tbl, row, sorted(set(lines)), mask(text, places)))
-        cols = list(zip(*out)) or [[]] * 4
-        yield pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+def _masked(text: str, a: ahocorasick.Automaton) -> tuple[list[int], str] | None:
+    places = locate(text, a)
+    if not places:
+        return None
+    lines, at, line, covered = [], 0, 1, []
+    for s, _, marks in places:
+        first = s + marks[0]
+        line += text.count("\n", at, first)
+        at = first
+        lines.append(line)
+        covered += [(s + x, s + y) for x, y in zip(marks[::2], marks[1::2])]
+    return sorted(set(lines)), mask(text, covered)
+
+
+_RESULT = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("lines", pa.list_(pa.int64())), ("masked", pa.string())])
+
 
+def _scanned(batch: pa.RecordBatch, automata: Iterator[ahocorasick.Automaton]) -> pa.RecordBatch:
+    out = []
+    for i, (text, a) in enumerate(zip(batch.column(2), automata)):
+        got = _masked(text.as_py(), a)
+        if got:
+            out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *got))
+    cols = list(zip(*out)) or [[]] * 4
+    return pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, _RESULT)], schema=_RESULT)
 
-def find_credentials(texts: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+
+def _ends(text: str) -> np.ndarray:
+    """All runs of eight bytes of a text, as numbers."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) < 8:
+        return np.zeros(0, np.uint64)
+    code = np.zeros(len(raw) - 7, np.uint64)
+    for i in range(8):
+        code = (code << np.uint64(8)) | raw[i : len(raw) - 7 + i].astype(np.uint64)
+    return mix(code)
+
+
+def _joined(rows: DataFrame, sure: DataFrame) -> DataFrame:
+    """The re-scan for any number of confirmed values: texts and values meet by the eight bytes that a value ends with.
+
+    Every run of eight bytes of every text is tried against a filter of fixed size; those that pass are joined with the
+    values, and each text is searched for the values it may hold.
+    """
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.array([_ends(p)[-1] for p in batch.column(0).to_pylist()], np.uint64)
+            yield pa.record_batch([*batch.columns, pa.array(codes.view(np.int64))], names=["pattern", "marks", "code"])
+
+    known = materialize(sure.mapInArrow(coded, "pattern string, marks array<int>, code long"), "known")
+    bit = F.col("code").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = known.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((code & {(1 << FILTER_BITS) - 1}) & 63 as int))")).alias("b")).collect()  # 2^FILTER_BITS bits at most
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words:
+        bits[r["w"]] = r["b"]
+    held = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                code = np.unique(_ends(text.as_py()))
+                at = code & np.uint64((1 << FILTER_BITS) - 1)
+                code = code[(table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                if len(code):
+                    yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * len(code), pa.string()), pa.array([batch.column(1)[i].as_py()] * len(code), pa.int64()), pa.array(code.view(np.int64))], names=["tbl", "row_id", "code"])
+
+    pairs = rows.mapInArrow(near, "tbl string, row_id long, code long").join(known, "code")
+    wanted = pairs.groupBy("tbl", "row_id").agg(F.collect_set(F.struct("pattern", "marks")).alias("wanted"))  # of one text
+    hit = rows.join(wanted, ["tbl", "row_id"]).select("tbl", "row_id", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _scanned(batch, (automaton([(w["pattern"], w["marks"]) for w in one]) for one in batch.column(3).to_pylist()))
+
+    return hit.mapInArrow(run, "tbl string, row_id long, lines array<long>, masked string")
+
+
+def find_credentials(texts: DataFrame, max_owners: int = MAX_OWNERS, owner_share: float = OWNER_SHARE) -> DataFrame:
     """(tbl, row_id, lines, masked): texts with credentials, the lines where they begin (from 1), the text with them masked.
 
-    texts has (tbl, row_id, owner, text); only texts with a credential come out. NULL and empty texts have none; a NULL
-    owner counts for no one. A credential over several lines counts at its first. Repeated rows come out once per row.
+    texts has (tbl, row_id, owner, text); only texts with a credential come out. A value that more than max_owners owners
+    have, and more than owner_share of all owners, is none. NULL and empty texts have none; a NULL owner counts for no one.
+    A credential over several lines counts at its first. Repeated rows come out once per row. Every text is searched for
+    every confirmed value, however many there are.
     """
-    index = materialize(texts.select("tbl", F.col("row_id").cast("long"), "owner", "text").mapInArrow(_index, "tbl string, row_id long, owner string, h long, pattern string"), "literals")
+    index = materialize(texts.select("owner", "text").mapInArrow(_index, "owner string, h long, pattern string, marks array<int>"), "literals")
     context = index.where("pattern IS NOT NULL")
-    good = context.groupBy("h").agg(F.countDistinct("owner").alias("owners")).where(F.col("owners") <= max_owners).select("h")
-    sure = materialize(context.join(good, "h").select("tbl", "row_id", "pattern").distinct(), "sure")
-    hashed = sure.select("pattern").distinct().mapInPandas(lambda it: (p.assign(h=[_hash(x) for x in p["pattern"]]) for p in it), "pattern string, h long")
-    other = index.where("pattern IS NULL").join(hashed, "h").select("tbl", "row_id", hashed["pattern"])
-    wanted = materialize(sure.union(other).groupBy("tbl", "row_id").agg(F.collect_set("pattern").alias("patterns")), "wanted")
-    keys = wanted.select("tbl", "row_id")
-    if wanted.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    hit = texts.where("text IS NOT NULL").select("tbl", F.col("row_id").cast("long"), "text").join(keys, ["tbl", "row_id"], "left_semi")
-    return hit.join(wanted, ["tbl", "row_id"]).select("tbl", "row_id", "text", "patterns").mapInArrow(_rescan, "tbl string, row_id long, lines array<long>, masked string")
+    everybody = index.agg(F.countDistinct("owner").alias("n")).first()["n"]
+    counted = index.join(context.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.countDistinct("owner").alias("owners"))
+    good = counted.where(F.col("owners") <= max(max_owners, owner_share * everybody)).select("h")
+    sure = materialize(context.join(good, "h", "left_semi").groupBy("pattern").agg(F.min("marks").alias("marks")), "sure")
+    rows = texts.where("text IS NOT NULL").select("tbl", F.col("row_id").cast("long").alias("row_id"), "text")
+    if sure.count() > MAX_PATTERNS:
+        return _joined(rows, sure)
+    held = rows.sparkSession.sparkContext.broadcast([(r["pattern"], tuple(r["marks"])) for r in sure.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton(held.value)
+        for batch in batches:
+            yield _scanned(batch, (a for _ in range(batch.num_rows)))
+
+    return rows.mapInArrow(run, "tbl string, row_id long, lines array<long>, masked string")
