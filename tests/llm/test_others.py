@@ -76,7 +76,7 @@ def test_best_findings(spark):
     assert representative.best_findings(empty, agents).count() == 0
 
 
-def test_truth_inference_recovers_sources(spark):
+def test_truth_inference_recovers_sources(spark, monkeypatch):
     rng = random.Random(8)
     rate = {"good": 0.95, "fair": 0.8, "poor": 0.55, "fair2": 0.8}
     truth, claims = {}, []
@@ -88,7 +88,43 @@ def test_truth_inference_recovers_sources(spark):
     facts, rates = representative.infer_truth(spark.createDataFrame(claims, "entity string, field string, value string, source string"))
     best = facts.groupBy("entity").agg(F.max_by("value", "p").alias("v")).collect()
     assert sum(truth[int(r["entity"])] == r["v"] for r in best) > 370
-    assert rates["good"][0] > rates["fair"][0] > rates["poor"][0]
+    sens = {r["s"]: r["sens"] for r in rates.collect()}
+    assert sens["good"] > sens["fair"] > sens["poor"]
+    facts, _ = representative.infer_truth(spark.createDataFrame(claims, "entity string, field string, value string, source string"), rounds=3)
+    p = {tuple(r)[:3]: r["p"] for r in facts.collect()}
+    monkeypatch.setattr(representative, "MAX_PATTERNS", 3)  # the same by aggregates over the patterns' table
+    other, rates = representative.infer_truth(spark.createDataFrame(claims, "entity string, field string, value string, source string"), rounds=3)
+    assert all(abs(p[tuple(r)[:3]] - r["p"]) < 1e-6 for r in other.collect()) and rates.count() == 4
+    none, _ = representative.infer_truth(spark.createDataFrame([], "entity string, field string, value string, source string"))
+    assert none.count() == 0
+
+
+def test_best_by_quality_alone(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    evidence = np.array([[p >> i & 1 for i in range(6)] for p in range(64)], float)
+    z = representative.quality(evidence, rng.integers(1, 100, 64).astype(float))
+    assert all(z[a] <= z[b] for a in range(64) for b in range(64) if a & b == a) and z[63] == z.max()
+    # without the check on all six: survivors are the planted best
+    rows, best = [], set()
+    for g in range(150):
+        top = int(rng.integers(0, 4))
+        for k in range(4):
+            i = g * 4 + k
+            good = k == top
+            rows.append(finding(i, "a" if good else rng.choice(["b", "c"]), True if good else bool(rng.random() < 0.5), "critical" if good or rng.random() < 0.4 else "low", line=g + 1, cwe="C1" if good else None))
+            if good:
+                best.add(i)
+    agents = spark.createDataFrame([("a", 9), ("b", 5), ("c", 7)], "agent string, trust int")
+    got = {r["finding_id"] for r in representative.best_findings(spark.createDataFrame(rows, FINDING), agents).collect()}
+    assert len(got) == 150 and len(got & best) >= 0.9 * 150
+
+
+@pytest.mark.parametrize("path, want", [("a/b/c/d/e/f/../../../../../x.py", "a/x.py"), ("./a//b\\\\c.py ", "a/b/c.py"), ("../a/./b/", "../a/b"), ("/../a", "/a"), ("a/../../b", "../b"), ("a.b/..c", "a.b/..c"), ("", ""), (None, None)])
+def test_one_spelling(spark, path, want):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(representative.clean_path("p")).first()[0] == want
 
 
 def test_water_filling(spark):
