@@ -43,20 +43,19 @@ _FLAG = re.compile(r"""(?i)--?(?:password|passwd|pass|pwd|token|secret|api-?key|
 _PIECE = re.compile(_STRING)
 _URL = re.compile(r"""://([^\s:/@"'`<>]*):([^\s@/"'`<>]+)@""")
 _AUTH = re.compile(r"(?i)\b(bearer|basic|token)[ \t]+([A-Za-z0-9._~+/\-]{8,}=*)")
-_AUTH_WORD = re.compile(r"[Bb]earer|BEARER|[Bb]asic|BASIC|[Tt]oken|TOKEN")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:\\r|\\n|[\s\"'+,;#/*\-.]|[A-Za-z0-9+/=]|[A-Za-z\-]+: [^\n\\]+)*?)(?=-----END|$|[^A-Za-z0-9+/=\\\s\"'+,;#*.\-:])")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{16,}")
 _CLOUD = re.compile(r"\bA(?:KIA|SIA|GPA|IDA|ROA)[A-Z0-9]{16}\b")
 _PAIR = re.compile(r"""(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""")
 _NOTE = re.compile(r"(?i)\b(?:credentials?|login|password|passwd)\b[^\n:=\"']{0,24}[:=][ \t]*(?:[A-Za-z0-9_.\-@]+[:/])([^\s\"'`,;]{8,})")
-_NOTE_WORD = re.compile(r"(?i)credential|login|passw")
 _SHAPED = re.compile(r"(?<![A-Za-z0-9_.\-/+=])[a-z]{2,8}(?:[-_.][a-z0-9]{1,6})?[-_.](?=[a-z0-9]{0,40}[A-Z])(?=[A-Z0-9]{0,40}[a-z])[A-Za-z0-9]{18,}(?![A-Za-z0-9_.\-/+=])")
 _LITERAL = re.compile(r"(?<=[\"'`\s,;()\[\]{}<>:=@])(?=[^\s\"'`,;()\[\]{}<>@]*[0-9][^\s\"'`,;()\[\]{}<>@]*)[^\s\"'`,;()\[\]{}<>@]{8,}|(?<=[\"'`])[^\s\"'`]{8,}(?=[\"'`])")
 _COMMENT = re.compile(r"#|//|--|/\*|<!--|^\s*[*;]")
-_PROSE_WORD = re.compile(r"(?i)\b(?:pw|pwd|pass|passwd|passwords?|passphrase|passcode|secret|token|(?:api|access|secret|private)[ _-]?key|login|logon|credentials?|creds)\b")
+_PROSE_WORDS = ("pw", "pass", "secret", "token", "key", "login", "logon", "cred")
+_PROSE_WORD = re.compile(r"(?i)(?<![A-Za-z0-9_])(?:pwd?|pass(?:wd|words?|phrase|code)?|secret|token|login|logon|cred(?:ential)?s?)(?![A-Za-z0-9_])|(?:(?<=api)|(?<=access)|(?<=secret)|(?<=private)|(?<=api[ _-])|(?<=access[ _-])|(?<=secret[ _-])|(?<=private[ _-]))key(?![A-Za-z0-9_])")
 _PROSE = re.compile(r"(?:(?<=\s)(?:is|was|are)|[:=/]|->)[ \t]+[\"'`]?([^\s\"'`,;]{8,})")
 _COMMAND = re.compile(r"""(?i)\b(?:sshpass[ \t]+-p|(?:mysql|mysqldump|mariadb|7z)\b[^\n|;]*?[ \t]-p(?=[^ \t])|redis-cli\b[^\n|;]*?[ \t]-a|unzip[ \t]+-P|(?:docker|podman|helm|oc|az)\b[^\n|;]*?\blogin\b[^\n|;]*?[ \t]-p|(?:curl|wget|http)\b[^\n|;]*?[ \t](?:-u|--user)[ \t=]+["']?[^\s:"']+:|-pass(?:in|out)?[ \t]+pass:)[ \t]*["']?([^\s"'`|;<>()]{6,})""")
-_COMMAND_WORD = re.compile(r"(?i)sshpass|mysql|mariadb|7z|redis-cli|unzip|login|curl|wget|http|-pass")
+_COMMAND_WORDS = ("sshpass", "mysql", "mariadb", "7z", "redis-cli", "unzip", "docker", "podman", "helm", "oc ", "az ", "curl", "wget", "http ", "-pass")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 _REFERENCE = re.compile(r"(?i)^(?:\$|%\w+%|\{\{|<|@|#\{|vault:|sm://|ssm:|ref\+|secret://|secrets?[:/]|kms:|env[:.]|file:|op://|arn:|keyring:|config:|https?://[^@]*$|/|\./)|\$\{|\{\{|process\.env|os\.environ|getenv")
@@ -86,9 +85,8 @@ def _places(low: str, words: tuple[str, ...]) -> list[int]:
     return sorted(places)
 
 
-def _keyed(text: str) -> Iterator[re.Match]:
+def _keyed(text: str, low: str) -> Iterator[re.Match]:
     """The matches of _KEYED, tried only where one of its words begins."""
-    low = text.lower()
     if len(low) != len(text):
         yield from _KEYED.finditer(text)
         return
@@ -99,18 +97,19 @@ def _keyed(text: str) -> Iterator[re.Match]:
             yield m
 
 
-def _noted(text: str) -> Iterator[tuple[int, int]]:
+def _noted(text: str, low: str) -> Iterator[tuple[int, int]]:
     """Values that a comment tells in prose: pw for the x box is VALUE, login user / VALUE."""
+    words = map(re.Match.end, _PROSE_WORD.finditer(text)) if len(low) != len(text) else (m.end() for at in _places(low, _PROSE_WORDS) if (m := _PROSE_WORD.match(text, at)))
     done = -1
-    for m in _PROSE_WORD.finditer(text):
-        if m.start() < done:
+    for at in words:
+        if at <= done:
             continue
-        first = text.rfind("\n", 0, m.start()) + 1
-        done = text.find("\n", m.end())
+        first = text.rfind("\n", 0, at) + 1
+        done = text.find("\n", at)
         done = len(text) if done < 0 else done
-        if not _COMMENT.search(text[first : m.start()]):
+        if not _COMMENT.search(text[first:at]):
             continue
-        for v in _PROSE.finditer(text, m.end(), done):
+        for v in _PROSE.finditer(text, at, done):
             value = v[1].rstrip(".)")
             if re.search(r"\d", value) and plausible(value) and not re.search(r"[(\[{]|://|\.\w+\.|/\w+/", value):
                 yield v.start(1), v.start(1) + len(value)
@@ -124,10 +123,11 @@ def _inner(literal: str) -> tuple[int, int]:
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, value) of each part of the text that its context shows to be a credential; value joins the pieces."""
     out: list[tuple[int, int, str]] = []
+    low = text.lower()
     for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
         if len(re.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", m[1])) >= 32:
             out.append((m.start(), m.end(), m[0]))
-    for m in _keyed(text):
+    for m in _keyed(text, low):
         at = m.start()
         while at and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
             at -= 1
@@ -145,9 +145,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         value = "".join(text[a:b] for a, b in pieces)
         if plausible(value) and not _AUTH.match(value) and "-----BEGIN" not in value:
             out.extend((a, b, value) for a, b in pieces if b > a)
-    for a, b in _noted(text):
+    for a, b in _noted(text, low):
         out.append((a, b, text[a:b]))
-    for m in _COMMAND.finditer(text) if _COMMAND_WORD.search(text) else ():
+    for m in _COMMAND.finditer(text) if any(w in low for w in _COMMAND_WORDS) else ():
         if plausible(m[1], 6):
             out.append((m.start(1), m.end(1), m[1]))
     for m in _FLAG.finditer(text) if "-" in text else ():
@@ -156,7 +156,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     for m in _URL.finditer(text) if "://" in text else ():
         if not _REFERENCE.search(m[2]) and not _HOLDER.search(m[2]) and plausible(m[2], 6):
             out.append((m.start(2), m.end(2), m[2]))
-    for m in _AUTH.finditer(text) if _AUTH_WORD.search(text) else ():
+    for m in _AUTH.finditer(text) if "bearer" in low or "basic" in low or "token" in low else ():
         value = m[2]
         if m[1].lower() == "basic":
             try:
@@ -178,7 +178,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             if re.search(r"[a-z]", p[0]) and re.search(r"[A-Z]", p[0]):
                 out.append((p.start(), p.end(), p[0]))
                 break
-    for m in _NOTE.finditer(text) if _NOTE_WORD.search(text) else ():
+    for m in _NOTE.finditer(text) if "credential" in low or "login" in low or "passw" in low else ():
         if plausible(m[1]):
             out.append((m.start(1), m.end(1), m[1]))
     for m in _SHAPED.finditer(text):
