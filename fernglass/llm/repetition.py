@@ -22,8 +22,9 @@ from fernglass.session import materialize
 WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: name: (a value of at least this votes for repetition, one of at most this against it)
-RULES = {"runs": (0.3, 0.12), "triples": (0.35, 0.15), "sentences": (0.25, -1.0), "lines": (0.25, -1.0), "paragraphs": (0.25, -1.0), "squeeze": (4.5, 2.6), "vocabulary": (0.72, 0.45)}
+#: name: (a value of at least this votes for repetition, one of at most this against it). A text of which 0.3 of the 8-word
+#: runs repeat has at least 0.3 of its 3-word runs and words repeated: those rules never vote against it.
+RULES = {"runs": (0.3, 0.12), "triples": (0.3, 0.15), "sentences": (0.25, -1.0), "lines": (0.25, -1.0), "paragraphs": (0.25, -1.0), "squeeze": (4.5, 1.2), "vocabulary": (0.72, 0.28)}
 SLICE = 4096
 
 
@@ -76,34 +77,35 @@ def measures(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def fit(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """(share of class 1, P(vote | class) as rules x 2 x 3, posterior of each pattern) by expectation-maximisation.
+    """(share of class 1, P(vote 1 | class, voting) as rules x 2, posterior of each pattern) by expectation-maximisation.
 
-    votes is patterns x rules of -1 (abstains), 0 or 1. It starts from the majority of each pattern's votes; one vote of
-    each kind is added to every count, so no probability is 0.
+    votes is patterns x rules of -1 (abstains), 0 or 1. It starts from the majority of each pattern's votes. Abstaining tells
+    nothing of the class. Rules are taken to be no worse than chance, and a few pseudo-votes say so before there are any, so
+    no probability is 0.
     """
     n, rules = votes.shape
     if not n:
-        return 0.0, np.full((rules, 2, 3), 1 / 3), np.zeros(0)
-    post = np.clip(((votes == 1).sum(1) + 0.1) / ((votes == 1).sum(1) + (votes == 0).sum(1) + 1.0), 0.02, 0.98)
-    prior, table = 0.5, np.zeros((rules, 2, 3))
+        return 0.0, np.full((rules, 2), 0.5), np.zeros(0)
+    yes, no = votes == 1, votes == 0
+    post = np.clip((yes.sum(1) + 0.1) / (yes.sum(1) + no.sum(1) + 1.0), 0.02, 0.98)
+    prior, rate = 0.5, np.zeros((rules, 2))
     for _ in range(rounds):
-        weight = np.stack([(1 - post) * count, post * count])
-        prior = float(weight[1].sum() / count.sum())
-        for c in range(2):
-            for v in range(3):
-                table[:, c, v] = (weight[c][:, None] * (votes == v - 1)).sum(0) + 1
-        table /= table.sum(2, keepdims=True)
-        log = np.stack([sum(np.log(table[r, c, votes[:, r] + 1]) for r in range(rules)) for c in range(2)])
-        odds = log[1] - log[0] + np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
+        prior = float((post * count).sum() / count.sum())
+        for c, weight in enumerate(((1 - post) * count, post * count)):
+            up, down = weight @ yes, weight @ no
+            rate[:, c] = (up + 1 + c) / (up + down + 3)
+        rate[:, 0], rate[:, 1] = np.minimum(rate[:, 0], 0.5), np.maximum(rate[:, 1], 0.5)
+        odds = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)) + yes @ np.log(rate[:, 1] / rate[:, 0]) + no @ np.log((1 - rate[:, 1]) / (1 - rate[:, 0]))
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return prior, table, post
+    return prior, rate, post
 
 
 def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, share, probability): the share of 8-word runs that began earlier, and the posterior of being repetitive.
+    """(doc_id, share, probability, votes): the share of 8-word runs that began earlier, the posterior of being repetitive,
+    and how many rules vote for it.
 
     Words are runs of letters and digits, lower case; fewer than eight give share 0, as do NULL and empty texts. Rows are
     judged one by one over their whole text; rules and posteriors are fitted on all rows. An empty table gives no rows.
@@ -125,5 +127,5 @@ def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     seen = [(r["pattern"], r["count"]) for r in voted.groupBy("pattern").count().collect()]  # at most 3^7 rows
     votes = np.array([[p // 3 ** (len(names) - 1 - i) % 3 - 1 for i in range(len(names))] for p, _ in seen], np.int64).reshape(-1, len(names))
     _, _, post = fit(votes, np.array([n for _, n in seen], float))
-    scores = documents.sparkSession.createDataFrame([(p, float(x)) for (p, _), x in zip(seen, post)], "pattern long, probability double")
-    return voted.join(F.broadcast(scores), "pattern").select("doc_id", "share", "probability")
+    scores = documents.sparkSession.createDataFrame([(p, float(x), int((v == 1).sum())) for (p, _), x, v in zip(seen, post, votes)], "pattern long, probability double, votes int")
+    return voted.join(F.broadcast(scores), "pattern").select("doc_id", "share", "probability", "votes")

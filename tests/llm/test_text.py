@@ -21,6 +21,38 @@ def test_handwritten_rules():
     assert kind("r/src/x.js", code + 'const S = "' + "A" * 900 + '";\n') is None
     assert kind("r/src/t.py", "T = [\n" + "    1, 2, 3, 4,\n" * 80 + "]\n") == "data"
     assert kind(None, "") is None
+    assert kind("r/external/zlib/x.c", code) == "vendored" and kind("src/external/client.py", code) is None
+    assert kind("fernglass/sources/tables.py", code) is None and kind("r/parser/parsetab.py", code) == "generated"
+
+
+@pytest.mark.parametrize("notice", [
+    "// Code generated by protoc-gen-go. DO NOT EDIT.", "# This file was automatically produced by x; changes will be lost.", "/* AUTO-GENERATED FILE */", "// <auto-generated tool='x' />", "# Diese Datei wurde von x 2.4 erzeugt",
+    "// Fichier produit automatiquement par x", "# Machine written, source is x.schema", "// Autogenerated from x.def on every build", "/*\n * @generated\n */", "# Do not modify: output of ./mk.sh", "// Generated stub for x. Regenerate with make stubs",
+    "// Code is auto-generated with x", "# Este archivo fue generado por x; no editar", "-- This module is generated from schema.sql",
+])
+def test_generation_notices(notice):
+    assert handwritten.classify("r/src/a.py", notice + "\n" + "x = run(value)\n" * 20, handwritten._automaton()) == "generated"
+
+
+@pytest.mark.parametrize("notice", [
+    "# SPDX-License-Identifier: Apache-2.0", "// Package x lists the contributors of a release.", "# PDF generated from the ledger", "# Licensed under the MIT License. All rights reserved.", "# IDs are automatically generated by the database.",
+    "// Generated files are removed on exit.", "# Copyright 2020 The Authors\n# Licensed under the Apache License, Version 2.0\n# http://www.apache.org/licenses/LICENSE-2.0", "# Auto-generated code is never cached here", "// Created by J. on 2019-04-02", "# r 1.2.0\n# MIT license",
+    "# Do not edit while the server runs", "# see https://x.example/generated/docs",
+])
+def test_headers_of_hand_written_files(notice):
+    assert handwritten.classify("r/src/a.py", notice + "\n" + "x = run(value)\n" * 20, handwritten._automaton()) is None
+
+
+@pytest.mark.parametrize("notice", ["/*!\n * tinylib v5.1.4\n * (c) 2011 the tinylib contributors\n * Released under the MIT license\n */", "// left-pad 1.3.0 | MIT", "# Copied verbatim from github.example/x", "/* @preserve jqfoo 2.1\n * https://jqfoo.example */"])
+def test_headers_of_copied_files(notice):
+    assert handwritten.classify("r/src/a.js", notice + "\n" + "x = run(value)\n" * 20, handwritten._automaton()) == "vendored"
+
+
+def test_numbered_members():
+    a = handwritten._automaton()
+    members = "class A:\n" + "".join(f"    def get_{w}{i}(self):\n        return self.v[{i}]\n" for i, w in enumerate(["lease", "dock", "shard", "row", "pane", "lane"] * 4))
+    assert handwritten.classify("r/src/a.py", members, a) == "generated"
+    assert handwritten.classify("r/src/a.py", "\n".join(f"total{i % 5} = fetch(other, {7 * i % 31})\nsend(total{i % 5})" for i in range(40)), a) is None
 
 
 def test_handwritten_table(spark):
@@ -128,6 +160,28 @@ def test_repetition_shares(spark):
     assert repetition.repetition(df.where("false")).count() == 0
 
 
+def test_posterior_alone(spark):
+    """Without the check on the share, the posterior at 0.5 finds the planted texts, among them such as one rule only sees."""
+    rng = random.Random(9)
+    words = [f"q{i}" for i in range(400)]
+    part = lambda n: rng.choices(words, k=n)
+    texts, planted = [], set()
+    for i in range(900):
+        w = part(rng.randrange(40, 400))
+        if i % 9 == 0:
+            planted.add(i)
+            kind = i // 9 % 4
+            k = len(w)
+            w = w + part(k) + w if kind == 0 else w * 3 if kind == 1 else (w[:12] + ["."]) * 20 if kind == 2 else part(20) + w[:40] + ["\n"] + w[:40] + ["\n"] + part(10)
+        elif i % 9 == 1:
+            w = w + w[: len(w) // 12]  # a little repeated
+        texts.append((i, " ".join(w)))
+    got = repetition.repetition(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    cases = {r["doc_id"] for r in got if r["share"] >= 0.3}
+    found = {r["doc_id"] for r in got if r["probability"] >= 0.5}
+    assert planted <= cases and len(found & cases) >= 0.9 * len(cases) and len(found & cases) >= 0.9 * len(found)
+
+
 def test_weak_supervision_recovers_accuracies():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.2
