@@ -172,7 +172,7 @@ def test_posterior_alone(spark):
             planted.add(i)
             kind = i // 9 % 4
             k = len(w)
-            w = w + part(k) + w if kind == 0 else w * 3 if kind == 1 else (w[:12] + ["."]) * 20 if kind == 2 else part(20) + w[:40] + ["\n"] + w[:40] + ["\n"] + part(10)
+            w = w + part(k // 2) + w if kind == 0 else w * 3 if kind == 1 else (w[:12] + ["."]) * 20 if kind == 2 else part(20) + w[:40] + ["\n"] + w[:40] + ["\n"] + part(10)
         elif i % 9 == 1:
             w = w + w[: len(w) // 12]  # a little repeated
         texts.append((i, " ".join(w)))
