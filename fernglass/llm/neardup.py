@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm import sketch
@@ -40,10 +40,10 @@ def _texts(df: DataFrame, id_col: str, text_cols: Sequence[str]) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(text_cols))).where("id IS NOT NULL")
 
 
-def signature_table(df: DataFrame, id_col: str, text_cols: Sequence[str], m: int = 128) -> DataFrame:
-    """(id, f, sk, sig): hash of the word set, 64-bit sketch, signature of 16-bit values. Written once.
+def signature_table(df: DataFrame, id_col: str, text_cols: Sequence[str], m: int = 128, words: bool = False) -> DataFrame:
+    """(id, f, sk, sig): hash of the word set, 64-bit sketch, signature of 16-bit values; with words the words' hashes (w). Written once.
 
-    sig and sk are NULL where the same task has brought them for an equal set, and where the set is empty (f = -1).
+    sig, sk and w are NULL where the same task has brought them for an equal set, and where the set is empty (f = -1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,12 +64,15 @@ def signature_table(df: DataFrame, id_col: str, text_cols: Sequence[str], m: int
             short = (sketch.mix(sig.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
             blob, sk = short.tobytes(), sketch.sketch64(sig)
             rows = [blob[a * 2 * m : (a + 1) * 2 * m] if x else None for a, x in zip(at.tolist(), first.tolist())]
-            yield pa.record_batch(
-                [ids, pa.array(f, pa.int64()), pa.array([int(sk[a]) if x else None for a, x in zip(at.tolist(), first.tolist())], pa.int64()), pa.array(rows, pa.binary())],
-                names=["id", "f", "sk", "sig"],
-            )
+            cols = {"id": ids, "f": pa.array(f, pa.int64()), "sk": pa.array([int(sk[a]) if x else None for a, x in zip(at.tolist(), first.tolist())], pa.int64()), "sig": pa.array(rows, pa.binary())}
+            if words:
+                size = np.bincount(doc[pick], minlength=len(f)) if len(doc) else np.zeros(len(f), np.int64)
+                held = hashes[code[pick]].view(np.int64) if len(code) else np.zeros(0, np.int64)
+                cols["w"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(held, pa.int64()), mask=pa.array(~first))
+            yield pa.record_batch(list(cols.values()), names=list(cols))
 
-    return materialize(_texts(df, id_col, text_cols).mapInArrow(run, "id long, f long, sk long, sig binary"), "sig")
+    schema = "id long, f long, sk long, sig binary" + (", w array<long>" if words else "")
+    return materialize(_texts(df, id_col, text_cols).mapInArrow(run, schema), "sig")
 
 
 def tree_rows(signed: DataFrame, node: str, trees: int, depth: int, m: int = 128) -> DataFrame:
@@ -99,10 +102,15 @@ def candidates(rows: DataFrame, chunk: int, done: int = 0) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("upto").alias("upto"))
 
 
+def least_common_bits(threshold: float) -> int:
+    """In how many of 64 places sketches of sets of this similarity agree at least, but for four standard deviations."""
+    p = (1 + threshold) / 2
+    return math.floor(64 * p - 4 * math.sqrt(64 * p * (1 - p)))
+
+
 def close_sketches(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose 64-bit sketches agree as far as sets of this similarity do but for four standard deviations."""
-    p = (1 + threshold) / 2
-    least = math.floor(64 * p - 4 * math.sqrt(64 * p * (1 - p)))
+    least = least_common_bits(threshold)
     a, b = sketches.select(F.col("node").alias("a"), F.col("sk").alias("sa")), sketches.select(F.col("node").alias("b"), F.col("sk").alias("sb"))
     return pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 64 - least)
 
@@ -119,6 +127,12 @@ def _word_hashes(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id long, w array<long>")
 
 
+def as_similar(x: Column, y: Column, threshold: float) -> Column:
+    """Whether the common part of two sets is at least threshold of all they hold; empty sets are similar to nothing."""
+    common, n = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
+    return (n > 0) & (common >= F.lit(threshold) * (n - common) - 1e-9)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_cols: Sequence[str], reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose exact word sets are as similar as threshold; reps has (node, id): whose text to take.
 
@@ -132,8 +146,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_cols: Sequence
         keys = F.broadcast(keys)
     words = _word_hashes(_texts(docs, id_col, text_cols).join(keys, "id", "left_semi")).join(need, "id").select("node", "w")
     both = pairs.select("a", "b").join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b")
-    x, n = F.size(F.array_intersect("wa", "wb")), F.size("wa") + F.size("wb")
-    return both.where((n > 0) & (x >= F.lit(threshold) * (n - x) - 1e-9)).select("a", "b")
+    return both.where(as_similar(F.col("wa"), F.col("wb"), threshold)).select("a", "b")
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: Sequence[str], threshold: float = 0.8, trees: int = 72, depth: int = 8, m: int = 128, chunk: int = 64) -> DataFrame:

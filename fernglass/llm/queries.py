@@ -59,8 +59,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "baseline", "entry_id", "batch_no", "fingerprint", "finding_json").select("entry_id", "batch_no", "fingerprint", parsed.alias("j"))
     entries = entries.select("entry_id", "batch_no", "fingerprint", "j.title", "j.description", "j.code_sample")
     new = F.coalesce(F.col("batch_no") >= 1, F.lit(False))
-    forest = PrefixForest("entry_id", FINDING_TEXT, "fingerprint", threshold=0.7).add(entries.where(~new))
-    found, _ = forest.match(entries.where(new))
+    forest = PrefixForest.create(spark, "entry_id", FINDING_TEXT, "fingerprint", threshold=0.7).add(entries.where(~new))
+    found = spark.createDataFrame([], "entry_id long, first_id long")
+    for row in entries.where(new).select("batch_no").distinct().orderBy("batch_no").collect():  # one after another, as they arrive
+        repeats, forest = forest.match(entries.where(F.col("batch_no") == row["batch_no"]))
+        found = found.union(repeats)
     return found.select("first_id", "entry_id")
 
 

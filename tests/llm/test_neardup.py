@@ -1,8 +1,12 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 
-from fernglass.llm import neardup, sketch
+from fernglass.llm import neardup, pages, sketch
 from fernglass.llm.history import PrefixForest, widened_depth
 
 SCHEMA = "id long, title string, body string"
@@ -121,18 +125,58 @@ def test_forest_batch_by_batch_and_at_once(spark):
     df = spark.createDataFrame([(*r, prints[r[0]]) for r in rows], schema)
     n = len(rows)
     want = brute_first(rows, prints, range(n // 2, n), 0.7)
-    forest = PrefixForest("id", ["title", "body"], "fp", threshold=0.7).add(df.where(f"id < {n // 2}"))
+    new = lambda: PrefixForest.create(spark, "id", ["title", "body"], "fp", threshold=0.7, max_runs=2).add(df.where(f"id < {n // 2}"))
+    forest = new()
     got, _ = forest.match(df.where(f"id >= {n // 2}"))
     assert {r["entry_id"]: r["first_id"] for r in got.collect()} == want
-    steps, grown = {}, forest
+    with pytest.raises(FileExistsError):  # one writer
+        forest.match(df.where("false"))
+    steps, grown = {}, new()
     for lo, hi in ((n // 2, 3 * n // 4), (3 * n // 4, n)):
         got, grown = grown.match(df.where(f"id >= {lo} AND id < {hi}"), chunk=1)
         steps |= {r["entry_id"]: r["first_id"] for r in got.collect()}
     assert steps == want
+    assert len(grown.runs) <= 2  # merged
     none, _ = grown.match(df.where("false"))
     assert none.count() == 0
 
 
+OTHER_SESSION = """
+import sys
+sys.path.insert(0, {root!r})
+from fernglass.llm.history import PrefixForest
+from fernglass.session import build_session
+spark = build_session("local[2]", 2)
+df = spark.createDataFrame({rows!r}, "id long, title string, body string, fp string")
+PrefixForest.create(spark, "id", ["title", "body"], "fp", {path!r}, threshold=0.7).add(df)
+"""
+
+
+def test_forest_across_two_sessions(spark, tmp_path):
+    rows = [(*r, None) for r in corpus(9, 20) if r[0] is not None]
+    half, path = len(rows) // 2, f"file://{tmp_path}/forest"
+    code = OTHER_SESSION.format(root=str(Path(__file__).resolve().parents[2]), rows=rows[:half], path=path)
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    want = brute_first(rows, {}, [r[0] for r in rows[half:]], 0.7)
+    got, _ = PrefixForest.open(spark, path).match(spark.createDataFrame(rows[half:], SCHEMA + ", fp string"))
+    assert {r["entry_id"]: r["first_id"] for r in got.collect()} == want and want
+    assert PrefixForest.open(spark, path).version == 2
+
+
+def test_pages_read_for_a_batch_do_not_grow_with_history(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pages, "PAGE_BYTES", 1 << 12)
+    batch, read = spark.range(40).select(F.xxhash64("id").alias("lo"), F.xxhash64("id").alias("hi")), []
+    for n in (20_000, 200_000):
+        path = f"file://{tmp_path}/t{n}"
+        pages.write_pages(spark.range(n).select(F.xxhash64("id").alias("key"), "id"), path)
+        met = pages.pages_of(spark, [path], batch)
+        read.append(met.select("file", "page").distinct().count())
+        assert met.groupBy("lo").count().count() == 40
+    assert read[1] < 1.5 * read[0] and read[0] > 10
+
+
 def test_widening():
     assert widened_depth(0.7, 0.995, 64) == 7
     assert widened_depth(0.2, 0.9999, 2) == 1

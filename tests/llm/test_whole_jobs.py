@@ -32,11 +32,12 @@ def test_first_repeat_in_ranges_longer_than_a_chunk(spark, monkeypatch):
 
     # 8 repeats 3 and 5: 3 stands behind the first chunk of one range, 5 at the start of another that goes on behind it
     ranges = spark.createDataFrame([(1, n) for n in (0, 1, 2, 3, 4, 8)] + [(2, n) for n in (5, 6, 7, 8)], "tree int, node long")
-    monkeypatch.setattr(history, "_keys", lambda signed, trees, m: signed.select("node").join(ranges, "node").select("tree", F.lit(1 << 60).alias("key"), "node"))
+    monkeypatch.setattr(history, "_keys", lambda classes, trees, m: classes.select("node", "sk").join(ranges, "node").select((F.col("tree").cast("long") * (1 << 56)).alias("key"), "node", "sk"))
+    monkeypatch.setattr(history, "least_common_bits", lambda threshold: 0)
     rows = [(i, " ".join([f"w{j}" for j in range(30)] + [f"x{i}"] if i in (3, 5, 8) else [f"y{i}_{j}" for j in range(30)])) for i in range(9)]
     df = spark.createDataFrame(rows, "id long, body string")
-    forest = history.PrefixForest("id", ["body"], None, threshold=0.7).add(df.where("id < 8"))
     for chunk in (100, 2):
+        forest = history.PrefixForest.create(spark, "id", ["body"], threshold=0.7).add(df.where("id < 8"))
         got, _ = forest.match(df.where("id = 8"), chunk=chunk)
         assert [tuple(r) for r in got.collect()] == [(8, 3)], chunk
 
