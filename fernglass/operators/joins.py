@@ -54,3 +54,17 @@ def first_drop(stages: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
     missing = F.array_min(F.array_except(F.lit(list(range(len(stages)))), F.col("_in")))
     names = F.array(*(F.lit(n) for n, _ in stages))
     return have.select(key, missing.alias("stage_no")).where("stage_no IS NOT NULL").select(key, "stage_no", F.element_at(names, F.col("stage_no") + 1).alias("stage"))
+
+
+def first_step(steps: Sequence[tuple[str, Column]], kept: str = "kept") -> Column:
+    """The name of the first of successive filters that removes a row, kept if none does; NULL removes nothing."""
+    out = F.lit(kept)
+    for name, drops in reversed(list(steps)):
+        out = F.when(drops, F.lit(name)).otherwise(out)
+    return out
+
+
+def flagged(rows: DataFrame, named: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with flag set where named has their key; no row goes."""
+    n = named.select(key).distinct().withColumn("_named", F.lit(True))
+    return rows.join(n, key, "left").withColumn(flag, F.col(flag) | F.coalesce("_named", F.lit(False))).drop("_named")
