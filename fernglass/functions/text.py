@@ -78,7 +78,7 @@ def extension(path: Column) -> Column:
 
 def last_segment(callee: Column) -> Column:
     """A call's last name: what follows the last point, arrow or double colon, without a bracket part."""
-    return F.regexp_extract(F.trim(F.regexp_replace(callee, r"\(.*$", "")), r"([^.:>]*)$", 1)
+    return F.regexp_extract(F.trim(F.regexp_replace(callee, r"[\[(].*$", "")), r"([^.:>\-]*)$", 1)
 
 
 def one_line(c: Column, limit: int) -> Column:
@@ -98,17 +98,105 @@ def is_entry_path(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/")).rlike(r"(main\.go|__main__\.py|manage\.py|app\.py|index\.(js|ts)|server\.js|main\.java|application\.java)$")
 
 
-#: Languages by suffix.
+#: Languages by suffix; a file named dockerfile is one too.
 LANGUAGES = {
-    ".go": "go", ".py": "python", ".js": "javascript", ".mjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java",
-    ".sql": "sql", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml", ".tf": "terraform", ".sh": "shell", ".bash": "shell", ".dockerfile": "dockerfile",
+    ".go": "go", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".kt": "kotlin",
+    ".rb": "ruby", ".php": "php", ".rs": "rust", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".scala": "scala",
+    ".swift": "swift", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".sql": "sql", ".tf": "terraform", ".yml": "yaml", ".yaml": "yaml",
+    ".json": "json", ".toml": "toml", ".xml": "xml", ".html": "html", ".dockerfile": "dockerfile",
 }
+#: Languages that are parsed, by suffix.
+PARSED = {".go": "go", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java"}
+
+
+def looked_up(key: Column, table: dict[str, str], other: str) -> Column:
+    """The table's value of a key."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(other))
 
 
 def language_of(path: Column) -> Column:
-    """The language that a path's suffix stands for, "text" for others."""
-    table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("text"))
+    """The language that a path's suffix (or name) stands for, "text" for others."""
+    return F.when(F.lower(base_name(path)) == "dockerfile", "dockerfile").otherwise(looked_up(extension(path), LANGUAGES, "text"))
+
+
+def parser_language(path: Column) -> Column:
+    """The language whose parser reads a path, empty for others."""
+    return looked_up(extension(path), PARSED, "")
+
+
+def clean_path(path: Column) -> Column:
+    """One spelling of a path: forward slashes, no empty or . parts, every .. resolved."""
+    p = F.translate(path, "\\", "/")
+    up = lambda acc: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p.startswith("/"), acc).otherwise(F.concat(acc, F.array(F.lit(".."))))
+    step = lambda acc, x: F.when((x == "") | (x == "."), acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
+    parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+    whole = F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(p.rlike(r"(^|/)\.{0,2}(/|$)"), F.when(whole == "", ".").otherwise(whole)).otherwise(p)
+
+
+def dir_name(path: Column) -> Column:
+    """What stands before the last slash, . without one."""
+    p = F.translate(path, "\\", "/")
+    return F.when(p.contains("/"), F.regexp_replace(p, r"/[^/]*$", "")).otherwise(".")
+
+
+def relative_to(root: Column | str, path: Column) -> Column:
+    """The path below root, or the path itself where it is not below it."""
+    r = F.concat(F.regexp_replace(F.lit(root) if isinstance(root, str) else root, r"/+$", ""), F.lit("/"))
+    return F.when(F.startswith(path, r), F.substr(path, F.length(r) + 1)).otherwise(path)
+
+
+def contains_word(text: Column, word: str) -> Column:
+    """Whether a word occurs that no letter, digit or _ continues on either side."""
+    import re
+
+    return text.rlike(rf"(?<![A-Za-z0-9_]){re.escape(word)}(?![A-Za-z0-9_])")
+
+
+def cache_key(*parts: Column) -> Column:
+    """SHA-256 over parts with NUL between them; NULL is a part of its own, unlike empty."""
+    return F.sha2(F.concat_ws("\x00", *(F.coalesce(x.cast("string"), F.lit("\x01")) for x in parts)), 256)
+
+
+def receiver_name(receiver: Column) -> Column:
+    """The type's last name in a receiver: (s *pkg.Service) is Service; empty for NULL."""
+    inner = F.trim(F.regexp_replace(F.trim(F.coalesce(receiver, F.lit(""))), r"^[()]+|[()]+$", ""))
+    last = F.regexp_replace(F.element_at(F.split(inner, r"\s+"), -1), r"^\*", "")
+    return F.regexp_extract(last, r"([^.]*)$", 1)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with a comma after each three digits."""
+    return F.format_number(n, 0)
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob on a base name as a regular expression."""
+    import re
+
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "[" and "]" in glob[i + 1 :]:
+            end = glob.index("]", i + 1)
+            out += "[" + glob[i + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]"
+            i = end
+        else:
+            out += re.escape(c)
+        i += 1
+    return f"^{out}$"
+
+
+def is_excluded(path: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether one of the patterns is part of the path, or as a glob matches its base name; empty patterns do not count."""
+    hit = F.lit(False)
+    for p in filter(None, patterns):
+        hit |= F.contains(path, F.lit(p)) | base_name(path).rlike(glob_pattern(p))
+    return hit
 
 
 def infra_kind(path: Column, content: Column) -> Column:

@@ -32,17 +32,17 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": [find(x) for x in nodes], "b": nodes}, dtype="int64")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, component long): each node of an edge with the smallest node it is connected to.
 
-    Edges are undirected; NULL ends, loops and repeated edges are ignored; an empty table gives an empty result. Each
-    round is written to the shared folder, only two counters reach the driver. A hub's edges are never in one group:
+    Edges are undirected; NULL ends, loops and repeated edges are ignored; an empty table gives an empty result. Rounds go on
+    until nothing changes (their number grows with the logarithm of a component's size). Each round is written to the shared folder, only two counters reach the driver. A hub's edges are never in one group:
     minima are pre-aggregated and joined back, where AQE can split a skewed key.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     e = materialize(e.mapInPandas(_contract, "a long, b long").distinct(), "cc")
     last = None
-    for _ in range(max_rounds):
+    while True:
         # e is (a, b) with a < b. Large star: every larger neighbour of u goes to the least of u's neighbourhood.
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

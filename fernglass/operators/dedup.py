@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order, whole; order must end in something unique."""
+    """The first row of each key in the given order, whole; order must end in something unique.
+
+    Each task keeps one row per key before the shuffle (a window's group limit), so a hot key does not travel.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

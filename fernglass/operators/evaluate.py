@@ -82,3 +82,9 @@ def interpolated(score: Column, knots: list[tuple[float, float]]) -> Column:
     x0, x1, y0, y1 = F.element_at(xs, lo), F.element_at(xs, hi), F.element_at(ys, lo), F.element_at(ys, hi)
     inside = F.when(x1 > x0, y0 + (y1 - y0) * (F.least(F.greatest(score, x0), x1) - x0) / (x1 - x0)).otherwise(y0)
     return F.when(score == 0, score).otherwise(inside)
+
+
+def brier(pooled: DataFrame, p: Column) -> DataFrame:
+    """(brier, samples): the mean squared error of the predictions p over pooled scores (x, n, hits); NULL without samples."""
+    error = F.col("hits") * (p - 1) * (p - 1) + (F.col("n") - F.col("hits")) * p * p
+    return pooled.agg(F.try_divide(F.sum(error), F.sum("n")).alias("brier"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))

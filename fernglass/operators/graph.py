@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernglass.session import materialize
 
 
-def distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, limit: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(node, distance): nodes reached from the seeds (column node) and the least number of edges to them.
 
     A frontier is joined with the edges round by round and those already seen are taken off; each round is written to the
@@ -17,7 +17,7 @@ def distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, l
     step = edges.select("src", "dst").distinct()
     seen = materialize(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("distance", F.lit(0)), "seen")
     frontier, hops = seen, 0
-    while hops < (max_hops if max_hops is not None else limit):
+    while max_hops is None or hops < max_hops:
         hops += 1
         reached = step.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where("node IS NOT NULL").distinct()
         frontier = materialize(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hops)), "frontier")
@@ -32,16 +32,22 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return distances(edges, seeds).select("node")
 
 
-def layers(edges: DataFrame, nodes: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(node, layer): nodes whose predecessors are all in earlier layers; nodes on or behind a cycle have NULL."""
+def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, layer): nodes whose predecessors are all in earlier layers; nodes on or behind a cycle have NULL.
+
+    Rounds go on until no node is free: as many as there are layers. Finished layers are put together every eight rounds.
+    """
     left = materialize(nodes.select("node").union(edges.select("src")).union(edges.select("dst")).distinct(), "left")
     live = materialize(edges.select("src", "dst").distinct(), "live")
-    done = None
-    for layer in range(limit):
+    done, layer = None, 0
+    while True:
         free = materialize(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)), "layer")
         if not free.limit(1).count():
             break
         done = free if done is None else done.union(free)
+        layer += 1
+        if layer % 8 == 0:
+            done = materialize(done, "done")
         gone = free.select("node")
         left = materialize(left.join(gone, "node", "left_anti"), "left")
         live = materialize(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti"), "live")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def range_first_match(left: DataFrame, right: DataFrame, eq: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], order: str, left_id: str = "ordinal", where: Column | None = None, block: int = 64) -> DataFrame:
+def range_first_match(left: DataFrame, right: DataFrame, eq: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], order: str, left_id: str = "ordinal", where: Column | None = None, block: int = 64, rank: Column | None = None) -> DataFrame:
     """(left_id, match): for each left row the first right row, by order, of equal eq whose range overlaps its own.
 
     Both ranges are cut into blocks of lines, which join the equality keys: a file with very many rows is spread over its
     blocks instead of being compared as a whole. match is a struct of the right row; left rows without one do not come out.
-    where may compare further columns, the left side's as l.x and the right side's as r.x.
+    where may compare further columns, the left side's as l.x and the right side's as r.x. With rank, a column over both, the
+    match of least rank is taken, and (left_id, rank) comes out.
     """
     def blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
         cut = lambda c: F.floor(F.col(c) / block)
@@ -26,6 +27,8 @@ def range_first_match(left: DataFrame, right: DataFrame, eq: Sequence[str], left
     cond &= (F.col(f"r.{right_range[0]}") <= F.col(f"l.{left_range[1]}")) & (F.col(f"r.{right_range[1]}") >= F.col(f"l.{left_range[0]}"))
     if where is not None:
         cond &= where
+    if rank is not None:
+        return l.join(r, cond).groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(F.min(rank).alias("rank"))
     row = F.struct(*(F.col(f"r.{c}") for c in right.columns))
     return l.join(r, cond).groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(F.min_by(row, F.col(f"r.{order}")).alias("match"))
 
@@ -68,3 +71,10 @@ def flagged(rows: DataFrame, named: DataFrame, key: str, flag: str) -> DataFrame
     """rows with flag set where named has their key; no row goes."""
     n = named.select(key).distinct().withColumn("_named", F.lit(True))
     return rows.join(n, key, "left").withColumn(flag, F.col(flag) | F.coalesce("_named", F.lit(False))).drop("_named")
+
+
+def all_of(parts: Sequence[DataFrame], number: str) -> DataFrame:
+    """The rows of all parts, with the part's number; columns are matched by name."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, (p.withColumn(number, F.lit(i)) for i, p in enumerate(parts)))

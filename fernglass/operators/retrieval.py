@@ -39,8 +39,10 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 8, id_col: str =
         held = spark.sparkContext.broadcast(by_len)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best: dict[int, list[tuple[float, int]]] = {}
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each length of query: scores and ids of the k best so far
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 ids, vs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
                 sizes = np.array([len(v) for v in vs])
                 for n, (names, q) in held.value.items():
@@ -51,11 +53,14 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 8, id_col: str =
                         norm = np.linalg.norm(x, axis=1, keepdims=True)
                         score[:, at] = q @ (x / np.where(norm == 0, 1, norm)).T
                     score = np.round(score, 12)
-                    for row, name in enumerate(names.tolist()):
-                        order = np.lexsort((ids, -score[row]))[:k]
-                        best[name] = sorted([*best.get(name, []), *((-float(score[row, j]), int(ids[j])) for j in order)])[:k]
-            flat = [(name, i, -s) for name, hits in best.items() for s, i in hits]
-            yield pa.record_batch([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.float64())], names=["query", "id", "score"])
+                    all_ids = np.broadcast_to(ids, score.shape)
+                    if n in best:
+                        score, all_ids = np.hstack([best[n][0], score]), np.hstack([best[n][1], all_ids])
+                    order = np.lexsort((all_ids, -score), axis=1)[:, :k]
+                    best[n] = np.take_along_axis(score, order, 1), np.take_along_axis(all_ids, order, 1)
+            for n, (score, at) in best.items():
+                names = held.value[n][0]
+                yield pa.record_batch([pa.array(np.repeat(names, score.shape[1])), pa.array(at.ravel()), pa.array(score.ravel())], names=["query", "id", "score"])
 
         part = base.mapInArrow(run, "query long, id long, score double")
         out = part if out is None else out.union(part)

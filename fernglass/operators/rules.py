@@ -45,9 +45,15 @@ def by_priority(df: DataFrame, key: str, first: DataFrame, order: str) -> DataFr
 
 
 def merge_decisions(rows: DataFrame, decisions: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Rows after decisions (ids array, drop): of the rows a decision names the first by order stays, or none if it drops
-    them; rows that no decision names stay. A row that several decisions name goes by each."""
-    named = decisions.withColumn("_d", F.monotonically_increasing_id()).select("_d", "drop", F.explode("ids").alias(key)).distinct()
+    """Rows after decisions: of the rows a decision names the first by order stays, or none if it drops them; rows that no
+    decision names stay. A row that several decisions name goes by each.
+
+    decisions has a row per decision (ids array, drop), or, where one may name any number of rows, a row per name
+    (decision, drop, key)."""
+    if "ids" in decisions.columns:
+        named = decisions.withColumn("_d", F.monotonically_increasing_id()).select("_d", "drop", F.explode("ids").alias(key)).distinct()
+    else:
+        named = decisions.select(F.col("decision").alias("_d"), "drop", key).distinct()
     w = Window.partitionBy("_d").orderBy(*order)
     kept = named.where("NOT drop").join(rows, key).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*rows.columns).distinct()
     return kept.union(rows.join(named.select(key).distinct(), key, "left_anti").select(*rows.columns))
@@ -70,3 +76,50 @@ def downgraded(findings: DataFrame, reached: DataFrame, file: str, is_test: Colu
     reason = F.when(is_test, "test").when(F.col("_r").isNull() & ~is_entry, "unreached")
     return findings.join(r, file, "left").withColumn("reason", reason).drop("_r")
 
+
+
+def markers(df: DataFrame, keys: Sequence[str], text: str, pattern: str) -> DataFrame:
+    """(keys..., line_no, rule, reason) of the lines with a marker, the pattern's first group being the rule, the second a reason.
+
+    Both come without outer blanks, the reason empty where there is none. Texts without a marker are not split.
+    """
+    found = extract_marks(df, keys, text, pattern, ["rule", "reason"])
+    return found.withColumns({"rule": F.trim("rule"), "reason": F.trim("reason")})
+
+
+def of_categories(table: Sequence[tuple], categories: Sequence[str]) -> list[tuple]:
+    """The rules (id, language, categories, ...) of one of the categories, in any case; all of them for none."""
+    wanted = {c.lower() for c in categories}
+    return [r for r in table if not wanted or wanted & {c.lower() for c in r[2]}]
+
+
+def pattern_matches(df: DataFrame, keys: Sequence[str], language: str, text: str, rules: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+    """(keys..., line_no, rule): lines that one of a rule's patterns (rule, language, patterns) matches, once per rule.
+
+    Patterns that are no regular expressions are left out. Texts that no pattern of their language matches are not split.
+    """
+    import re
+
+    def sound(p: str) -> bool:
+        try:
+            re.compile(p)
+        except re.error:
+            return False
+        return True
+
+    tests = [(r, lang, "|".join(f"(?:{p})" for p in patterns if sound(p))) for r, lang, patterns in rules]
+    tests = [t for t in tests if t[2]]
+    some = F.lit(False)
+    for _, lang, p in tests:
+        some |= (F.col(language) == lang) & F.col(text).rlike(p)
+    rows = lines(df.where(some), [*keys, language], text)
+    hits = F.array_compact(F.array(*(F.when((F.col(language) == lang) & F.col("line").rlike(p), F.lit(r)) for r, lang, p in tests)))
+    return rows.withColumn("rule", F.explode(hits)).select(*keys, "line_no", "rule")
+
+
+def callee_matches(calls: DataFrame, language: str, callee: str, rules: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+    """calls with rule: the rules (rule, language, names) that name a callee, whole or by what follows its last point."""
+    whole = F.trim(F.col(callee))
+    last = F.regexp_extract(whole, r"([^.]*)$", 1)
+    hits = F.array_compact(F.array(*(F.when((F.col(language) == lang) & (whole.isin(*names) | last.isin(*names)), F.lit(r)) for r, lang, names in rules if names)))
+    return calls.withColumn("rule", F.explode(hits))

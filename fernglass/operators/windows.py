@@ -37,3 +37,12 @@ def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], s
     """The leading rows of each key whose sizes add up to at most budget, with used: the sum so far."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+
+
+def symbol_chunks(df: DataFrame, key: str, text: str, symbols: str) -> DataFrame:
+    """(key, start_line, end_line, symbol): the lines of each symbol, cut to the text's end, blank ones left out; texts are cut in place."""
+    f = df.where(F.col(text).isNotNull()).withColumn("_lines", F.split(F.col(text), "\n"))
+    rows = F.transform(symbols, lambda s: F.struct(s["start_line"].alias("start_line"), F.least(s["end_line"], F.size("_lines")).alias("end_line"), s["name"].alias("symbol")))
+    inside = F.filter(rows, lambda x: (x["start_line"] >= 1) & (x["start_line"] <= F.size("_lines")) & (x["end_line"] >= x["start_line"]))
+    filled = F.filter(inside, lambda x: F.regexp_replace(F.array_join(F.slice("_lines", x["start_line"], x["end_line"] - x["start_line"] + 1), ""), r"\s", "") != "")
+    return f.select(key, F.explode(filled).alias("c")).select(key, "c.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from fernglass.operators import codegraph, dedup, evaluate, graph, joins, retrie
 from fernglass.session import materialize
 from fernglass.sources import sinks
 from fernglass.sources.tables import table
-from fernglass.streaming.windows import usage_windows
+from fernglass.streaming.windows import collected_windows, usage_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,15 +117,12 @@ def usage_windows_batch(spark, d):
 
 @query(SQL["usage_windows_batch"])
 def usage_windows_stream(spark, d):
-    """The same windows from a stream of the events' file, in complete mode, ended when all of it is read."""
+    """The same windows from a stream of the events' file, ended when all of it is read."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     model = F.when(F.col("user_id") % 3 == 0, "m-a").when(F.col("user_id") % 3 == 1, "m-b").otherwise("m-c")
     log = raw.select("ts", F.col("event_type").alias("stage"), model.alias("model"), F.floor(F.col("value") * 10).cast("long").alias("tokens_in"), (F.col("event_type") != "error").alias("ok"))
-    name = "usage_" + next(tempfile._get_candidate_names()).replace("-", "_")
-    q = usage_windows(log.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return collected_windows(usage_windows(log.withColumn("ts", F.col("ts").cast("timestamp"))), ["start", "stage", "model"])
 
 
 @query("SELECT * EXCLUDE (rn) FROM (SELECT ordinal, agent, file, start_line, end_line, title, row_number() OVER (PARTITION BY agent, file, start_line, end_line, title ORDER BY ordinal) AS rn FROM v) WHERE rn = 1", "v")
@@ -236,17 +232,17 @@ def trace_first_match(spark, d):
 @query(f""", {TRACES} SELECT ordinal, arg_min(trace_id, pass * 10000000000 + trace_id) AS trace_id, min(pass) AS pass FROM (
 SELECT v.ordinal, t.ordinal AS trace_id, CASE WHEN t.sink BETWEEN v.start_line - 2 AND v.end_line + 2 THEN 1 WHEN t.sink BETWEEN v.start_line - 50 AND v.end_line + 50 THEN 2 ELSE 3 END AS pass FROM v JOIN t ON t.file = v.file) GROUP BY ordinal""", "v")
 def path_three_pass_match(spark, d):
-    """The nearest kind of match first: each pass is a range join over what the one before left, the last takes a file's first path."""
+    """The nearest kind of match first: one range join at the widest tolerance keeps the best of pass and order, what it leaves takes a file's first path."""
     f = findings(spark, d, "file", "start_line", "end_line", "verified")
     t = f.where("verified").select("ordinal", "file", (F.col("start_line") + (F.col("ordinal") % 5).cast("int") - 2).alias("sink"))
-    out, left = None, f.select("ordinal", "file", "start_line", "end_line")
-    for n, tolerance in ((1, 2), (2, 50)):
-        near = left.withColumn("lo", F.col("start_line") - tolerance).withColumn("hi", F.col("end_line") + tolerance)
-        got = joins.range_first_match(near, t, ["file"], ("lo", "hi"), ("sink", "sink"), "ordinal").select("ordinal", F.col("match.ordinal").alias("trace_id"), F.lit(n).alias("pass"))
-        out = got if out is None else out.union(got)
-        left = left.join(got.select("ordinal"), "ordinal", "left_anti")
-    rest = left.join(t.groupBy("file").agg(F.min("ordinal").alias("trace_id")), "file").select("ordinal", "trace_id", F.lit(3).alias("pass"))
-    return out.union(rest)
+    left = f.select("ordinal", "file", "start_line", "end_line")
+    near = left.withColumn("lo", F.col("start_line") - 50).withColumn("hi", F.col("end_line") + 50)
+    close = F.col("r.sink").between(F.col("l.start_line") - 2, F.col("l.end_line") + 2)
+    rank = F.struct(F.when(close, 1).otherwise(2).alias("pass"), F.col("r.ordinal").alias("trace_id"))
+    got = joins.range_first_match(near, t, ["file"], ("lo", "hi"), ("sink", "sink"), "ordinal", rank=rank).select("ordinal", "rank.trace_id", "rank.pass")
+    got = materialize(got, "near")
+    rest = left.join(got.select("ordinal"), "ordinal", "left_anti").join(t.groupBy("file").agg(F.min("ordinal").alias("trace_id")), "file").select("ordinal", "trace_id", F.lit(3).alias("pass"))
+    return got.union(rest)
 
 
 @query("""SELECT ordinal, CASE WHEN false_positive THEN 'filter' WHEN suppressed THEN 'suppress' ELSE 'policy' END AS stage, CASE WHEN false_positive THEN 1 WHEN suppressed THEN 2 ELSE 3 END AS stage_no
@@ -276,7 +272,9 @@ def path_flags(spark, d):
 
 
 
-@query("SELECT file_id, CASE regexp_extract(lower(string_split(path, '/')[-1]), '(\\.[^.]*)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'text' END AS language FROM files WHERE path IS NOT NULL")
+@query("""SELECT file_id, coalesce(language, 'text') AS language FROM (SELECT file_id, CASE WHEN lower(string_split(path, '/')[-1]) = 'dockerfile' THEN '.dockerfile' ELSE regexp_extract(lower(string_split(path, '/')[-1]), '(\\.[^.]*)$', 1) END AS ext FROM files WHERE path IS NOT NULL) LEFT JOIN (VALUES
+('.go', 'go'), ('.py', 'python'), ('.js', 'javascript'), ('.jsx', 'javascript'), ('.ts', 'typescript'), ('.tsx', 'typescript'), ('.java', 'java'), ('.kt', 'kotlin'), ('.rb', 'ruby'), ('.php', 'php'), ('.rs', 'rust'), ('.c', 'c'), ('.h', 'c'), ('.cc', 'cpp'), ('.cpp', 'cpp'), ('.hpp', 'cpp'),
+('.cs', 'csharp'), ('.scala', 'scala'), ('.swift', 'swift'), ('.sh', 'shell'), ('.bash', 'shell'), ('.zsh', 'shell'), ('.sql', 'sql'), ('.tf', 'terraform'), ('.yml', 'yaml'), ('.yaml', 'yaml'), ('.json', 'json'), ('.toml', 'toml'), ('.xml', 'xml'), ('.html', 'html'), ('.dockerfile', 'dockerfile')) t(ext, language) USING (ext)""")
 def file_language(spark, d):
     return table(spark, d, "files", "file_id", "path").where("path IS NOT NULL").select("file_id", T.language_of(F.col("path")).alias("language"))
 
@@ -421,7 +419,24 @@ def enclosing_function(spark, d):
     return codegraph.enclosing(codegraph.calls(rec), codegraph.symbols(rec))
 
 
-@query("""SELECT DISTINCT w.file_id, w.caller, s.file_id AS to_file, w.callee FROM w JOIN sym s ON s.name = w.callee WHERE (s.file_id = w.file_id OR NOT EXISTS (SELECT 1 FROM sym o WHERE o.file_id = w.file_id AND o.name = w.callee)) AND NOT (s.file_id = w.file_id AND w.caller = w.callee)""".replace("SELECT DISTINCT w.file_id", r""", w AS (SELECT DISTINCT file_id, caller, regexp_extract(trim(regexp_replace(callee, '\(.*$', '')), '([^.:>]*)$', 1) AS callee FROM (SELECT c.file_id, c.call_no, c.callee, s.name AS caller, row_number() OVER (PARTITION BY c.file_id, c.call_no ORDER BY s.end_line - s.start_line, s.ordinal) AS rn FROM cal c JOIN sym s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line) WHERE rn = 1) SELECT DISTINCT w.file_id"""), "rec sym cal")
+WITH["imp"] = r"""i AS (SELECT file_id, n - 1 AS import_no, trim(m.path) AS imp, p FROM (SELECT file_id, x.path AS p, unnest(x.imports) AS m, unnest(range(1, len(x.imports) + 1)) AS n FROM rec) WHERE trim(m.path) <> ''),
+f AS (SELECT DISTINCT path AS target FROM files WHERE path IS NOT NULL), k AS (SELECT key, min(target) AS target FROM (SELECT target, lower(target) AS key FROM f UNION ALL SELECT target, lower(regexp_replace(target, '\.[^./]*$', '')) FROM f) GROUP BY key UNION ALL SELECT '=' || target, target FROM f
+UNION ALL SELECT '/' || lower(string_split(target, '/')[-1]), min(target) FROM f GROUP BY 1 HAVING count(*) = 1),
+u AS (SELECT file_id, import_no, imp, regexp_replace(p, '/[^/]*$', '') AS d0, regexp_replace(imp, '^(\./)+', '') AS r0, 0 AS n FROM i WHERE imp LIKE '.%' UNION ALL SELECT file_id, import_no, imp, regexp_replace(d0, '(^|/)[^/]*$', ''), substr(r0, 4), n + 1 FROM u WHERE r0 LIKE '../%'),
+s AS (SELECT file_id, import_no, imp, CASE WHEN d0 = '' THEN r0 ELSE d0 || '/' || r0 END AS c FROM u WHERE r0 NOT LIKE '../%'),
+q AS (SELECT file_id, import_no, j AS p, lower(c) || x AS key FROM s, (VALUES (0, ''), (1, '.go'), (2, '.py'), (3, '.js'), (4, '.jsx'), (5, '.ts'), (6, '.tsx'), (7, '.java')) v(j, x) UNION ALL SELECT file_id, import_no, j, '=' || c || '/' || x FROM s, (VALUES (8, 'index.js'), (9, 'index.ts'), (10, '__init__.py')) v(j, x)
+UNION ALL SELECT file_id, import_no, 2 * j, lower(replace(imp, '.', '/')) || x FROM i, (VALUES (0, ''), (1, '.go'), (2, '.py'), (3, '.js'), (4, '.ts'), (5, '.java')) v(j, x) WHERE imp NOT LIKE '.%' UNION ALL SELECT file_id, import_no, 2 * j + 1, lower(imp) || x FROM i, (VALUES (0, ''), (1, '.go'), (2, '.py'), (3, '.js'), (4, '.ts'), (5, '.java')) v(j, x) WHERE imp NOT LIKE '.%'
+UNION ALL SELECT file_id, import_no, 20 + j, '/' || lower(string_split_regex(imp, '[/.]')[-1]) || x FROM i, (VALUES (0, '.py'), (1, '.go')) v(j, x) WHERE imp NOT LIKE '.%'),
+t AS (SELECT i.file_id, i.import_no, coalesce(m.target, 'ext:' || i.imp) AS target FROM i LEFT JOIN (SELECT file_id, import_no, arg_min(k.target, q.p) AS target FROM q JOIN k USING (key) GROUP BY file_id, import_no) m USING (file_id, import_no)),
+lk AS (SELECT DISTINCT t.file_id, r.file_id AS to_file FROM t JOIN rec r ON r.x.path = t.target)"""
+WITH["wi"] = r"""wi AS (SELECT DISTINCT file_id, caller, regexp_extract(trim(regexp_replace(callee, '[\[(].*$', '')), '([^.:>\-]*)$', 1) AS callee FROM (SELECT c.file_id, c.call_no, c.callee, s.name AS caller, row_number() OVER (PARTITION BY c.file_id, c.call_no ORDER BY s.end_line - s.start_line, s.ordinal) AS rn FROM cal c JOIN sym s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line) WHERE rn = 1)"""
+WITH["ed"] = """sn AS (SELECT DISTINCT file_id AS to_file, name FROM sym WHERE name IS NOT NULL), ak AS (SELECT DISTINCT file_id, callee FROM wi),
+ne AS (SELECT DISTINCT a.file_id, a.callee, s.to_file FROM ak a JOIN (SELECT DISTINCT file_id, file_id AS to_file FROM ak UNION SELECT file_id, to_file FROM lk) l ON l.file_id = a.file_id JOIN sn s ON s.to_file = l.to_file AND s.name = a.callee),
+fa AS (SELECT a.file_id, a.callee, s.to_file FROM ak a JOIN sn s ON s.name = a.callee WHERE NOT EXISTS (SELECT 1 FROM ne WHERE ne.file_id = a.file_id AND ne.callee = a.callee)),
+ed AS (SELECT w.file_id, w.caller, e.to_file, w.callee FROM wi w JOIN (SELECT * FROM ne UNION ALL SELECT * FROM fa) e USING (file_id, callee) WHERE NOT (w.file_id = e.to_file AND w.caller = w.callee))"""
+
+
+@query("SELECT * FROM ed", "rec sym cal imp wi ed", recursive=True)
 def call_resolution(spark, d):
     rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
     within = codegraph.enclosing(codegraph.calls(rec), codegraph.symbols(rec))
@@ -431,14 +446,7 @@ def call_resolution(spark, d):
     return codegraph.resolve_calls(within, codegraph.symbols(rec), links)
 
 
-@query(r""", i AS (SELECT file_id, n - 1 AS import_no, trim(m.path) AS imp, p FROM (SELECT file_id, x.path AS p, unnest(x.imports) AS m, unnest(range(1, len(x.imports) + 1)) AS n FROM rec) WHERE trim(m.path) <> ''),
-f AS (SELECT DISTINCT path AS target FROM files WHERE path IS NOT NULL), k AS (SELECT key, min(target) AS target FROM (SELECT target, lower(target) AS key FROM f UNION ALL SELECT target, lower(regexp_replace(target, '\.[^./]*$', '')) FROM f) GROUP BY key),
-b AS (SELECT lower(string_split(target, '/')[-1]) AS key, min(target) AS target FROM f GROUP BY 1 HAVING count(*) = 1),
-c AS (SELECT file_id, import_no, 0 AS p, lower(regexp_replace(p, '/[^/]*$', '') || '/' || regexp_replace(imp, '^(\./)+', '')) AS key, FALSE AS base FROM i WHERE imp LIKE '.%'
-UNION ALL SELECT file_id, import_no, 1 + j, lower(replace(imp, '.', '/') || s), FALSE FROM i, (VALUES (0, ''), (1, '.go'), (2, '.py'), (3, '.js'), (4, '.ts'), (5, '.java')) v(j, s) WHERE imp NOT LIKE '.%'
-UNION ALL SELECT file_id, import_no, 20 + j, lower(string_split_regex(imp, '[/.]')[-1]) || s, TRUE FROM i, (VALUES (0, '.py'), (1, '.go')) v(j, s) WHERE imp NOT LIKE '.%'),
-h AS (SELECT c.file_id, c.import_no, c.p, coalesce(k.target, b.target) AS target FROM c LEFT JOIN k ON k.key = c.key AND NOT c.base LEFT JOIN b ON b.key = c.key AND c.base WHERE coalesce(k.target, b.target) IS NOT NULL)
-SELECT i.file_id, i.import_no, coalesce((SELECT arg_min(target, p) FROM h WHERE h.file_id = i.file_id AND h.import_no = i.import_no), 'ext:' || i.imp) AS target FROM i""", "rec")
+@query("SELECT * FROM t", "rec imp", recursive=True)
 def import_resolution(spark, d):
     rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
     return codegraph.resolve_imports(codegraph.imports(rec), table(spark, d, "files", "path"))
@@ -615,9 +623,11 @@ n AS (SELECT file AS f, rule_id AS q, dropped, unnest(ids) AS ordinal FROM d), k
 SELECT ordinal FROM k WHERE NOT dropped AND rn = 1 UNION ALL SELECT ordinal FROM r WHERE ordinal NOT IN (SELECT ordinal FROM n)""", "v r")
 def merged_decisions(spark, d):
     f = findings(spark, d, "file", "rule_id", "severity", "confidence", "start_line")
-    named = f.where("ordinal % 3 <> 0").groupBy("file", "rule_id").agg(F.collect_list("ordinal").alias("ids"), (F.min("ordinal") % 4 == 0).alias("drop")).where(F.size("ids") > 1)
+    some = f.where("ordinal % 3 <> 0").select("ordinal", F.struct("file", "rule_id").alias("decision"))
+    decided = some.groupBy("decision").agg((F.min("ordinal") % 4 == 0).alias("drop"), F.count("*").alias("n")).where("n > 1")
+    named = some.join(decided, "decision").select("decision", "drop", "ordinal")
     order = [V.severity_rank(F.col("severity")).desc(), V.confidence_rank(F.col("confidence")).desc(), F.asc("start_line"), F.asc("ordinal")]
-    return rules.merge_decisions(f, named.select("ids", "drop"), "ordinal", order).select("ordinal")
+    return rules.merge_decisions(f, named, "ordinal", order).select("ordinal")
 
 
 def halves(n: int) -> str:

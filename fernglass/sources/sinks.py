@@ -53,3 +53,30 @@ def append_calls(df: DataFrame, path: str) -> None:
 def replace_fingerprints(findings: DataFrame, path: str) -> None:
     """The known fingerprints, replaced as a whole."""
     findings.select("fingerprint").where("fingerprint IS NOT NULL").distinct().write.mode("overwrite").parquet(path)
+
+
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """(rule, name, results): the distinct rules of findings that are no false positives, named by the first in canonical order."""
+    f = findings.where("NOT false_positive")
+    order = F.struct(-V.severity_rank(F.col("severity")), -V.confidence_rank(F.col("confidence")), -F.col("score"), "file", "start_line", "ordinal")
+    keyed = f.select(sarif_rule(F.col("rule_id"), F.col("agent"), F.col("title")).alias("rule"), "title", order.alias("o"))
+    return keyed.groupBy("rule").agg(F.min_by("title", "o").alias("name"), F.count("*").alias("results"))
+
+
+def dot_document(edges: DataFrame) -> DataFrame:
+    """(at, line): a whole graph description in the order of at: its head, the nodes, the edges, its end."""
+    node = edges.select(F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("n")).distinct().select(F.lit(1).alias("at"), F.format_string('  "%s";', "n").alias("line"))
+    frame = edges.sparkSession.createDataFrame([(0, "digraph G {"), (3, "}")], "at int, line string")
+    return frame.union(node).union(dot_lines(edges).select(F.lit(2), "line")).orderBy("at", "line")
+
+
+def report_lines(findings: DataFrame) -> DataFrame:
+    """(ordinal, line): one line of a text report per finding: its severity, title and place."""
+    s = F.lower(F.trim("severity"))
+    level = F.upper(F.when(s.isin(*V.SEVERITIES), s).otherwise("other"))
+    return findings.select("ordinal", F.concat(F.lit("["), level, F.lit("] "), F.col("title"), F.lit(" ("), F.col("file"), F.lit(":"), F.col("start_line").cast("string"), F.lit(")")).alias("line"))
+
+
+def write_report(findings: DataFrame, path: str) -> None:
+    """All findings as JSON lines in canonical order."""
+    findings.orderBy(*V.canonical_order()).write.mode("overwrite").json(path)
