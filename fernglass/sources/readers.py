@@ -44,7 +44,7 @@ def csv_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_cached(files: DataFrame, cache: DataFrame | None, parse) -> tuple[DataFrame, DataFrame]:
     """(parsed rows of all files, rows to add to the cache): only contents that the cache (key, ...) lacks are parsed."""
-    keyed = files.withColumn("key", F.sha2(F.concat_ws(":", "content", "language"), 256))
+    keyed = files.withColumn("key", T.cache_key(F.col("content"), F.col("language")))
     if cache is None:
         fresh = parse(keyed.dropDuplicates(["key"]))
         return keyed.select("path", "key").join(fresh, "key"), fresh
