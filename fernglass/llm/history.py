@@ -140,7 +140,7 @@ class PrefixForest:
     recall: float = 0.995
     trees: int = 64
     m: int = 128
-    max_runs: int = 8
+    max_runs: int = 12
     #: (name, classes) of each run, the folders below path.
     runs: tuple[tuple[str, int], ...] = ()
     version: int = 0

@@ -85,24 +85,37 @@ def pages_of(spark: SparkSession, paths: list[str], wanted: DataFrame) -> DataFr
 def read_ranges(spark: SparkSession, paths: list[str], wanted: DataFrame, work: Callable[[dict[str, pa.Array], pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """work(ranges, page) of every page of the tables that a range (lo, hi, ...) of wanted falls into, its rows being columns.
 
-    Each page is read by one task, for a batch of ranges at a time.
+    Each page is read by one task, for a batch of ranges at a time. A page's name travels once, its ranges carry a number.
     """
-    ordered = pages_of(spark, paths, wanted).repartition("file", "page").sortWithinPartitions("file", "page", "lo")
+    met = pages_of(spark, paths, wanted)
+    number = F.xxhash64("file", "page").alias("number")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.schema]
+    named = spark.read.schema(DIRECTORY).parquet(*(f"{p}/pages" for p in paths)).select(number, "file", "page", *empty)
+    rows = named.union(met.select(number, F.lit(None).cast("string"), F.lit(None).cast("int"), *wanted.columns))
+    ordered = rows.repartition("number").sortWithinPartitions("number", F.col("file").isNull(), "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, page, handle, name = None, None, None, None
+        number = spot = page = None
+        handle, name = None, None
         for batch in batches:
-            files, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            where = [0, *[i for i in range(1, len(files)) if files[i] != files[i - 1] or numbers[i] != numbers[i - 1]], len(files)]
-            for s, e in zip(where, where[1:]):
+            numbers, files, pages = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
                 if s == e:
                     continue
-                if at != (files[s], numbers[s]):
-                    if name != files[s]:
-                        handle, name = _opened(files[s]), files[s]
-                    at, page = (files[s], numbers[s]), handle.read_row_group(int(numbers[s]))
+                if number != numbers[s]:
+                    number, spot, page = numbers[s], None, None
+                while s < e and files[s].is_valid:
+                    spot = (files[s].as_py(), pages[s].as_py())
+                    s += 1
+                if s == e:
+                    continue
+                if page is None:
+                    if name != spot[0]:
+                        handle, name = _opened(spot[0]), spot[0]
+                    page = handle.read_row_group(spot[1])
                 part = batch.slice(s, e - s)
-                got = work({n: part.column(i) for i, n in enumerate(part.schema.names)}, page)
+                got = work({n: part.column(i + 3) for i, n in enumerate(part.schema.names[3:])}, page)
                 if got is not None:
                     yield got
 
