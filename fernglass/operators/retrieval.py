@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
@@ -75,16 +75,19 @@ def keyword_topk(corpus: DataFrame, terms: list[str], k: int, id_col: str, text:
     return corpus.select(F.col(id_col).alias("id"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
-def shingle_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, text: str, query_id: str, query_text: str) -> DataFrame:
+def shingle_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, text: str, query_id: str, query_text: str, language: str | None = None, query_language: str | None = None) -> DataFrame:
     """(query, id, score, rank): the k texts of highest 3-gram Jaccard similarity for each query, none with 0.
 
     The corpus' grams are joined with the queries' grams, so only texts with something in common are scored, and counted
-    before the scores are made.
+    before the scores are made. With languages, a text of another language than the query's does not count; one without, in
+    any case, fits all.
     """
-    c = corpus.select(F.col(id_col).alias("id"), T.shingles(F.col(text)).alias("g")).withColumn("n", F.size("g"))
-    q = queries.select(F.col(query_id).alias("query"), T.shingles(F.col(query_text)).alias("g")).withColumn("m", F.size("g"))
-    grams = q.select("query", "m", F.explode("g").alias("gram"))
-    common = c.select("id", "n", F.explode("g").alias("gram")).join(grams, "gram").groupBy("query", "id", "n", "m").agg(F.count("*").alias("x"))
+    spoken = lambda name: F.lower(F.coalesce(F.col(name), F.lit(""))) if name else F.lit("")
+    c = corpus.select(F.col(id_col).alias("id"), spoken(language).alias("lc"), T.shingles(F.col(text)).alias("g")).withColumn("n", F.size("g"))
+    q = queries.select(F.col(query_id).alias("query"), spoken(query_language).alias("lq"), T.shingles(F.col(query_text)).alias("g")).withColumn("m", F.size("g"))
+    grams = q.select("query", "lq", "m", F.explode("g").alias("gram"))
+    met = c.select("id", "lc", "n", F.explode("g").alias("gram")).join(grams, "gram").where("lc = lq OR lc = '' OR lq = ''")
+    common = met.groupBy("query", "id", "n", "m").agg(F.count("*").alias("x"))
     scored = common.select("query", "id", (F.col("x") / (F.col("n") + F.col("m") - F.col("x"))).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -94,3 +97,11 @@ def search_lines(df: DataFrame, keys: list[str], text: str, pattern: str, width:
     """(keys..., line_no, line): lines in which the pattern is found, cut to width characters. Texts without it are not split."""
     hit = df.where(F.col(text).rlike(f"(?m){pattern}"))
     return lines(hit, keys, text).where(F.col("line").rlike(pattern)).withColumn("line", F.substring("line", 1, width))
+
+
+def kept_or_first(candidates: DataFrame, group: str, keep: Column, order: str, n: int) -> DataFrame:
+    """The candidates that keep holds for; of groups where it holds for none the first n by order."""
+    some = candidates.where(keep).select(group).distinct()
+    w = Window.partitionBy(group).orderBy(order)
+    rest = candidates.join(some, group, "left_anti").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return candidates.where(keep).unionByName(rest)

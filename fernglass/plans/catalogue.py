@@ -543,18 +543,6 @@ def packed_symbols(spark, d):
     return sequential.packed_symbols(codegraph.symbols(rec).where("start_line <= end_line"), "file_id", 60, 15)
 
 
-@query()
-def budget_admission(spark, d):
-    f = fragments(spark, d).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("priority", "tokens", "ordinal"))).alias("items"))
-    return sequential.map_rows(f, "items", ["chunk_id"], lambda rows: [(r["ordinal"], g) for r, g in zip(rows, sequential.admit([r["tokens"] for r in rows], 8000, 50)) if g], "ordinal long, granted long")
-
-
-@query()
-def squeezed_files(spark, d):
-    f = table(spark, d, "files", "file_id", "content").where("content IS NOT NULL")
-    return sequential.map_rows(f, "content", ["file_id"], lambda t: [("\n".join(sequential.squeeze_lines(t.split("\n"), 40)),)], "content string")
-
-
 @query()
 def data_flows(spark, d):
     f = table(spark, d, "files", "file_id", "content").where("content IS NOT NULL")
