@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-#: The test set is a fixed table that every task holds; more characters than this are refused rather than broadcast.
+#: Every task holds the test set; of one with more characters than this a part at a time.
 MAX_TEST_CHARS = 64_000_000
 
 
@@ -112,12 +113,21 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     A passage is least or more consecutive words (runs of letters and digits, lower case). words is the match's length,
     doc_word the number of the document's word where it begins (from 0; the first of several as long). Whole texts are
     searched. NULL and short texts, and NULL ids, give no rows; a document under two ids counts twice, an item's copies
-    too. The test set is broadcast; above MAX_TEST_CHARS characters it is refused.
+    too. The test set is broadcast; one of more than MAX_TEST_CHARS characters in parts, with a pass over the documents for
+    each.
     """
     test = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = test.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_TEST_CHARS:
-        raise ValueError(f"the test set has {size} characters, more than {MAX_TEST_CHARS}")
+    parts = -(-size // MAX_TEST_CHARS)
+    if parts > 1:
+        part = lambda k: items.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == k)
+        return reduce(DataFrame.union, (_passages(documents, part(k), doc_id, item_id, text, least) for k in range(parts)))
+    return _passages(documents, items, doc_id, item_id, text, least)
+
+
+def _passages(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, least: int) -> DataFrame:
+    """leaked_passages of a test set that every task holds as a whole."""
+    test = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     held = documents.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in test.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

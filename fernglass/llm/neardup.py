@@ -24,6 +24,8 @@ from fernglass.session import materialize
 BROADCAST_IDS = 1_000_000
 #: Rows that are sketched at once in a Python worker.
 SLICE = 4096
+#: Classes of a bucket that are met as one block; larger buckets are split over as many tasks as they have blocks.
+BUCKET = 4096
 #: Word sets that a task remembers so as not to sketch copies again.
 SEEN = 200_000
 
@@ -155,7 +157,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: Sequence[str],
     Rows are linked if their word sets are as similar as threshold (Jaccard); groups are what links connect. SuperMinHash
     signatures, banding (trees bands of depth places), verification and union-find. Rows of one bucket are paired with
     its first chunk of classes; where a bucket has more, the classes that are not yet in the bucket's largest component
-    are paired with all of it, so that no link between components is lost. An empty table, NULL texts and NULL ids give
+    are paired with all of it, block by block and by sketch first, so that no link between components is lost and no bucket is
+    one task's. An empty table, NULL texts and NULL ids give
     no rows; repeated rows count by id. Columns other than those named play no part.
     """
     signed = signature_table(df, id_col, text_cols, m)
@@ -168,9 +171,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_cols: Sequence[str],
         big = rows.join(found.where("upto IS NOT NULL").select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("key").distinct()
         rest = rows.join(big, "key", "left_semi").distinct().join(comp.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         rest = materialize(rest, "rest")
-        top = rest.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
-        odd = rest.join(top, "key").where("c <> top").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-        more = odd.join(rest, "key").where("cx <> c").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        top = rest.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("top"), F.ceil(F.sum("count") / BUCKET).cast("int").alias("blocks"))
+        told = rest.join(classes.select("node", "sk"), "node").join(top, "key")
+        odd = told.where("c <> top").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("sk").alias("sx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        all_ = told.select("key", "node", "c", "sk", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+        close = F.bit_count(F.col("sx").bitwiseXOR(F.col("sk"))) <= 64 - least_common_bits(threshold)
+        more = odd.join(all_, ["key", "block"]).where((F.col("cx") != F.col("c")) & close).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         links = materialize(links.union(verified(close_sketches(more, classes, threshold), df, id_col, text_cols, classes, threshold)).distinct(), "links")
         comp = connected_components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))

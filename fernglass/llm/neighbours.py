@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ SAMPLE_PER_LIST = 24
 MAX_LISTS = 4096
 #: Vectors of a list that are scanned as one block; longer lists are split.
 BLOCK = 4096
-#: Kinds of vectors (provider, model, length) that are held at once.
-MAX_GROUPS = 1000
+#: Kinds of vectors (provider, model, length) whose models are held at once: as many as have so many bytes of centroids and
+#: rotations. Others follow in further passes.
+MODEL_BYTES = 256 << 20
 #: Standard deviations of an estimate that its bound allows for.
 BOUND = 2.2
 
@@ -136,10 +138,31 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, probes: i
     source = vectors.where(F.col(vec_id).isNotNull() & F.col(provider).isNotNull() & F.col(model).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), kind.alias("g"), F.col(dim).cast("int"), F.col(vec))
     flat = materialize(source.mapInArrow(decode, "id long, g string, v binary").withColumn("f", F.xxhash64("g", "v")), "vectors")
     classes = materialize(flat.groupBy("g", "f").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v")).select("id", "g", "f", "v"), "classes")
-    sizes = {r["g"]: r["count"] for r in classes.groupBy("g").count().limit(MAX_GROUPS + 1).collect()}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} kinds of vectors")
-    lists = {g: max(1, min(MAX_LISTS, round(math.sqrt(n)))) if n > 2 * k * SAMPLE_PER_LIST else 1 for g, n in sizes.items()}
+    kinds = classes.groupBy("g").agg(F.count("*").alias("n"), F.first(F.octet_length("v")).alias("bytes")).orderBy("g").collect()  # a row per kind
+    lists = {r["g"]: max(1, min(MAX_LISTS, round(math.sqrt(r["n"])))) if r["n"] > 2 * k * SAMPLE_PER_LIST else 1 for r in kinds}
+    passes, held_bytes = [[]], 0
+    for r in kinds:
+        need = r["bytes"] * (lists[r["g"]] + r["bytes"] // 4)
+        if passes[-1] and held_bytes + need > MODEL_BYTES:
+            passes.append([])
+            held_bytes = 0
+        passes[-1].append(r["g"])
+        held_bytes += need
+    found = [_near_of(classes if len(passes) == 1 else classes.where(F.col("g").isin(gs)), {g: lists[g] for g in gs}, k, least, probes) for gs in passes if gs]
+    near = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, b long, cosine double, rank int")
+    # from classes to vectors: of a class, only its k + 1 smallest ids can be among anyone's k nearest
+    member = flat.join(classes.select("f", "g", F.col("id").alias("c")), ["g", "f"]).select("id", "c")
+    first = Window.partitionBy("c").orderBy("id")
+    heads = member.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select(F.col("c").alias("b"), F.col("id").alias("other"))
+    plural = heads.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("b").alias("a"), "b", F.lit(1.0).alias("cosine"))
+    wide = near.select("a", "b", "cosine").union(plural).join(heads, "b").select("a", "other", "cosine")
+    pairs = member.select(F.col("c").alias("a"), "id").join(wide, "a").where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"), "cosine")
+    return _ranked(pairs, k)
+
+
+def _near_of(classes: DataFrame, lists: dict[str, int], k: int, least: float, probes: int) -> DataFrame:
+    """most_similar of classes (id, g, f, v) of kinds whose models are held together."""
+    spark = classes.sparkSession
     model_of = {}
     for g, n in lists.items():  # a bounded sample of each kind
         sample = classes.where(F.col("g") == g).orderBy(F.xxhash64("id"), "id").limit(n * SAMPLE_PER_LIST).select("v").collect()
@@ -199,17 +222,23 @@ def most_similar(vectors: DataFrame, k: int = 10, least: float = -1.0, probes: i
     found = rows.mapInArrow(scan, "a long, b long, cosine double")
     both = materialize(found, "near")
     both = both.union(both.select("b", "a", "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    near = _ranked(both, k)
-    # from classes to vectors: of a class, only its k + 1 smallest ids can be among anyone's k nearest
-    member = flat.join(classes.select("f", "g", F.col("id").alias("c")), ["g", "f"]).select("id", "c")
-    first = Window.partitionBy("c").orderBy("id")
-    heads = member.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select(F.col("c").alias("b"), F.col("id").alias("other"))
-    plural = heads.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("b").alias("a"), "b", F.lit(1.0).alias("cosine"))
-    wide = near.select("a", "b", "cosine").union(plural).join(heads, "b").select("a", "other", "cosine")
-    pairs = member.select(F.col("c").alias("a"), "id").join(wide, "a").where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"), "cosine")
-    return _ranked(pairs, k)
+    return _ranked(both, k)
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def with_chunks(pairs: DataFrame, vectors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pairs (vec_a, vec_b) with the file, lines, symbol and text of the code of either vector, NULL where it is missing.
+
+    vectors has (vec_id, chunk_key), chunks (chunk_key, payload): UTF-8 JSON, of which what is cut off or missing is NULL. Of a
+    chunk that is there more than once the first in order of its payload counts.
+    """
+    text = F.decode("payload", "UTF-8")
+    whole = chunks.where("chunk_key IS NOT NULL AND payload IS NOT NULL").groupBy("chunk_key").agg(F.min(text).alias("t"))
+    code = F.from_json("t", "file string, start_line int, end_line int, symbol string, text string")
+    shown = vectors.join(whole, "chunk_key").select("vec_id", code.alias("code"))
+    a, b = shown.select(F.col("vec_id").alias("vec_a"), F.col("code").alias("code_a")), shown.select(F.col("vec_id").alias("vec_b"), F.col("code").alias("code_b"))
+    return pairs.join(a, "vec_a", "left").join(b, "vec_b", "left").select("vec_a", "vec_b", "code_a", "code_b")

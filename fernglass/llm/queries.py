@@ -14,7 +14,7 @@ from fernglass.llm.handwritten import not_handwritten
 from fernglass.llm.history import PrefixForest
 from fernglass.llm.leaks import leaked_passages
 from fernglass.llm.mixing import mixture
-from fernglass.llm.neighbours import most_similar
+from fernglass.llm.neighbours import most_similar, with_chunks
 from fernglass.llm.parsing import invalid_rates, syntax_check
 from fernglass.llm.repetition import repetition
 from fernglass.llm.representative import best_findings
@@ -54,6 +54,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
 
 
+def p1_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = with_chunks(p1_found(spark, sf_dir), table(spark, sf_dir, "embedding_cache", "vec_id", "chunk_key"), table(spark, sf_dir, "rag_chunks", "chunk_key", "payload"))
+    return shown.select("vec_a", "vec_b", *(F.col(f"code_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("file", "start_line", "symbol", "text")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = F.from_json("finding_json", "title string, description string, code_sample string")
     entries = table(spark, sf_dir, "baseline", "entry_id", "batch_no", "fingerprint", "finding_json").select("entry_id", "batch_no", "fingerprint", parsed.alias("j"))
@@ -101,7 +106,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("probability >= 0.5 OR votes > 0").where("share >= 0.3").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_shown": p1_shown, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p4_found": r"""
 WITH r AS (

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernglass.functions import text
 from fernglass.functions.findings import CONFIDENCES, SEVERITIES, rank
 from fernglass.session import materialize
 
@@ -31,12 +32,7 @@ def clean(c: Column | str) -> Column:
 
 def clean_path(path: Column | str) -> Column:
     """One spelling of a path: forward slashes, no empty or . parts, every .. resolved, no outer blanks."""
-    p = F.regexp_replace(F.trim(F.col(path) if isinstance(path, str) else path), r"[\\/]+", "/")
-    up = lambda acc: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p.startswith("/"), acc).otherwise(F.concat(acc, F.array(F.lit(".."))))
-    step = lambda acc, x: F.when((x == "") | (x == "."), acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
-    parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
-    whole = F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
-    return F.when(p.rlike(r"(^|/)\.\.?(/|$)|.+/$"), whole).otherwise(p)
+    return text.clean_path(F.trim(F.col(path) if isinstance(path, str) else path))
 
 
 def _fit(patterns: list[tuple[list[str], list[str], int]], rounds: int, prior: float, threshold: float) -> tuple[list[float], dict[str, tuple[float, float]]]:

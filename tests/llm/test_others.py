@@ -45,6 +45,24 @@ def test_equal_vectors_and_ties(spark):
     assert len(got) == 45 and {r["b"] for r in got if r["a"] == 14} == {0, 1, 2} and {r["b"] for r in got if r["a"] == 0} == {1, 2, 3}
 
 
+def test_kinds_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, "p", f"m{i % 4}", 8, rng.integers(-2, 3, 8).astype("<f4").tobytes()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, provider string, model string, dim int, vec binary")
+    want = sorted(map(tuple, neighbours.most_similar(df, 4, 0.5).collect()))
+    monkeypatch.setattr(neighbours, "MODEL_BYTES", 1)
+    assert sorted(map(tuple, neighbours.most_similar(df, 4, 0.5).collect())) == want and want
+
+
+def test_neighbours_with_their_code(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "vec_a long, vec_b long")
+    vectors = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, None)], "vec_id long, chunk_key string")
+    good = '{"file": "a.py", "start_line": 3, "symbol": "f", "text": "x"}'
+    chunks = spark.createDataFrame([("k1", good.encode()), ("k1", good.encode()), ("k2", b'{"file": "b'), (None, b"{}"), ("k2", None)], "chunk_key string, payload binary")
+    got = {(r["vec_a"], r["vec_b"]): r for r in neighbours.with_chunks(pairs, vectors, chunks).collect()}
+    assert set(got) == {(1, 2), (2, 3)} and got[1, 2]["code_a"]["file"] == "a.py" and got[2, 3]["code_b"] is None
+
+
 def test_one_bit_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 64)).astype(np.float32)
@@ -121,7 +139,7 @@ def test_best_by_quality_alone(spark):
     assert len(got) == 150 and len(got & best) >= 0.9 * 150
 
 
-@pytest.mark.parametrize("path, want", [("a/b/c/d/e/f/../../../../../x.py", "a/x.py"), ("./a//b\\\\c.py ", "a/b/c.py"), ("../a/./b/", "../a/b"), ("/../a", "/a"), ("a/../../b", "../b"), ("a.b/..c", "a.b/..c"), ("", ""), (None, None)])
+@pytest.mark.parametrize("path, want", [("a/b/c/d/e/f/../../../../../x.py", "a/x.py"), ("./a//b\\\\c.py ", "a/b/c.py"), ("../a/./b/", "../a/b"), ("/../a", "/a"), ("a/../../b", "../b"), ("a.b/..c", "a.b/..c"), ("", "."), (None, None)])
 def test_one_spelling(spark, path, want):
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(representative.clean_path("p")).first()[0] == want

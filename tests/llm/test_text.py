@@ -142,6 +142,16 @@ def test_longest_match():
     assert (d.tolist(), item.tolist(), n.tolist(), place.tolist()) == ([0], [7], [22], [2])
 
 
+def test_leaks_of_a_test_set_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(500)], k=30)) for _ in range(20)]
+    q = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    d = spark.createDataFrame([(i, f"before {t} after" if i % 2 else "none of them here") for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(tuple, leaks.leaked_passages(d, q).collect()))
+    monkeypatch.setattr(leaks, "MAX_TEST_CHARS", 600)
+    assert sorted(map(tuple, leaks.leaked_passages(d, q).collect())) == want and len(want) == 10
+
+
 def test_repetition_shares(spark):
     def exact(text):
         w = leaks.WORD.findall((text or "").lower())
