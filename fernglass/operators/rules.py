@@ -111,7 +111,7 @@ def pattern_matches(df: DataFrame, keys: Sequence[str], language: str, text: str
     tests = [t for t in tests if t[2]]
     some = F.lit(False)
     for _, lang, p in tests:
-        some |= (F.col(language) == lang) & F.col(text).rlike(p)
+        some |= (F.col(language) == lang) & F.col(text).rlike(f"(?m){p}")  # as its lines do
     rows = lines(df.where(some), [*keys, language], text)
     hits = F.array_compact(F.array(*(F.when((F.col(language) == lang) & F.col("line").rlike(p), F.lit(r)) for r, lang, p in tests)))
     return rows.withColumn("rule", F.explode(hits)).select(*keys, "line_no", "rule")
