@@ -78,3 +78,21 @@ def all_of(parts: Sequence[DataFrame], number: str) -> DataFrame:
     from functools import reduce
 
     return reduce(DataFrame.unionByName, (p.withColumn(number, F.lit(i)) for i, p in enumerate(parts)))
+
+
+def in_all(names: DataFrame, lists: Sequence[DataFrame], column: str, other: str) -> DataFrame:
+    """The names that all lists have, sorted; one row with other if there is none."""
+    left = names
+    for x in lists:
+        left = left.join(x.select(column).distinct(), column, "left_semi")
+    found = left.select(column).distinct()
+    alone = names.sparkSession.createDataFrame([(other,)], f"{column} string")
+    some = found.limit(1).select(F.lit(other).alias(column), F.lit(True).alias("_some"))
+    return found.union(alone.join(some, column, "left_anti").select(column)).orderBy(column)
+
+
+def overridden(rows: DataFrame, values: DataFrame, key: str, columns: Sequence[str], flag: str) -> DataFrame:
+    """rows with the columns of values where it has their key and a value, and flag telling so; of several the first in order."""
+    v = values.groupBy(key).agg(F.min(F.struct(*columns)).alias("_v"))
+    got = rows.join(v, key, "left")
+    return got.withColumns({**{c: F.coalesce(F.col("_v")[c], F.col(c)) for c in columns}, flag: F.col("_v").isNotNull()}).drop("_v")

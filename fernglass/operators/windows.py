@@ -46,3 +46,11 @@ def symbol_chunks(df: DataFrame, key: str, text: str, symbols: str) -> DataFrame
     inside = F.filter(rows, lambda x: (x["start_line"] >= 1) & (x["start_line"] <= F.size("_lines")) & (x["end_line"] >= x["start_line"]))
     filled = F.filter(inside, lambda x: F.regexp_replace(F.array_join(F.slice("_lines", x["start_line"], x["end_line"] - x["start_line"] + 1), ""), r"\s", "") != "")
     return f.select(key, F.explode(filled).alias("c")).select(key, "c.*")
+
+
+def around_matches(df: DataFrame, key: str, text: str, pattern: str, before: int, after: int) -> DataFrame:
+    """(key, line_no, lines): each line that the pattern matches with the lines around it; texts without one are not split."""
+    f = df.where(F.col(text).rlike(f"(?m){pattern}")).withColumn("_l", F.split(F.col(text), "\n"))
+    hits = F.filter(F.sequence(F.lit(1), F.size("_l")), lambda i: F.element_at("_l", i).rlike(pattern))
+    cut = F.transform(hits, lambda i: F.struct(i.cast("long").alias("line_no"), F.array_join(F.slice("_l", F.greatest(i - before, F.lit(1)), i + after - F.greatest(i - before, F.lit(1)) + 1), "\n").alias("lines")))
+    return f.select(key, F.explode(cut).alias("c")).select(key, "c.*")

@@ -537,7 +537,10 @@ def chunk_kinds(spark, d):
     return c.select("chunk_key", "file", kind.alias("kind")).distinct().groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(""", o AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, end_line) AS n, start_line AS a, end_line AS b, end_line - start_line + 1 AS s FROM sym WHERE start_line <= end_line),
+w AS (SELECT file_id, n, a, b, s, 0 AS run, s AS total FROM o WHERE n = 1 UNION ALL SELECT o.file_id, o.n, o.a, o.b, o.s, CASE WHEN w.total + o.s > 60 THEN w.run + 1 ELSE w.run END, CASE WHEN w.total + o.s > 60 THEN o.s ELSE w.total + o.s END FROM w JOIN o ON o.file_id = w.file_id AND o.n = w.n + 1),
+t AS (SELECT file_id, run, sum(s) AS size, max(run) OVER (PARTITION BY file_id) AS last FROM w GROUP BY file_id, run), m AS (SELECT w.*, CASE WHEN w.run = t.last AND w.run > 0 AND t.size < 15 THEN w.run - 1 ELSE w.run END AS r FROM w JOIN t USING (file_id, run))
+SELECT file_id, r AS run_no, arg_min(a, n) AS first_line, arg_max(b, n) AS last_line, CAST(sum(s) AS BIGINT) AS size FROM m GROUP BY file_id, r""", "rec sym", recursive=True)
 def packed_symbols(spark, d):
     rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
     return sequential.packed_symbols(codegraph.symbols(rec).where("start_line <= end_line"), "file_id", 60, 15)
@@ -549,12 +552,12 @@ def data_flows(spark, d):
     return sequential.map_rows(f, "content", ["file_id"], lambda t: sequential.flows(t.split("\n"), ["get_", "fetch", "load"], ["flush", "publish", "submit"], ["validate", "trim"]), "source_line int, sink_line int, name string, cleaned boolean")
 
 
-@query("SELECT entry_id, md5(CAST(json(finding_json) AS VARCHAR)) IS NOT NULL AS found FROM baseline")
+@query(r"SELECT entry_id, sha256(trim(finding_json, ' ' || chr(9) || chr(10) || chr(13))) AS object FROM baseline")
 def json_in_noise(spark, d):
-    """The JSON object of each finding found again between prose and code fences."""
+    """The JSON object of each finding found again between prose with an open brace and code fences."""
     b = table(spark, d, "baseline", "entry_id", "finding_json").withColumn("text", F.concat(F.lit("Result {see below:\n```json\n"), "finding_json", F.lit("\n```\nDone.")))
-    got = sequential.map_rows(b, "text", ["entry_id", "finding_json"], lambda t: [(sequential.balanced_json(t.split("see below:", 1)[1]),)], "json string")
-    return got.select("entry_id", (F.trim("json") == F.trim("finding_json")).alias("found"))
+    got = sequential.map_rows(b, "text", ["entry_id"], lambda t: [(sequential.balanced_json(t),)], "json string")
+    return got.select("entry_id", F.sha2("json", 256).alias("object"))
 
 
 RULES = [("py-query", "python", "select * from"), ("py-auth", "python", "set_header("), ("go-auth", "go", "setHeader("), ("js-auth", "javascript", "setHeader("), ("java-bucket", "java", "openBucket("), ("go-error", "go", "err != nil")]

@@ -180,3 +180,28 @@ def test_stream_with_a_late_row(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = {r["start"].hour: (r["calls"], r["errors"], r["tokens_in"]) for r in collected_windows(usage_windows(stream), ["start", "stage", "model"]).collect()}
     assert got == {9: (1, 0, 1), 12: (2, 1, 6), 15: (1, 0, 16)}  # what came with 15:00 for 9:05 was too late
+
+
+def test_embedding_by_a_provider(spark):
+    import numpy as np
+
+    from fernglass.operators.windows import around_matches, symbol_chunks
+    from fernglass.sources.embed import embedded, short_hash
+
+    df = spark.createDataFrame([(i, "ü" * i if i else None) for i in range(7)], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in embedded(df, "id", "text", lambda ts: np.array([[len(t), len(ts)] for t in ts]), batch=3, most_bytes=9).collect()}
+    assert set(got) == set(range(1, 7)) and [got[i][0] for i in range(1, 7)] == [1, 2, 3, 4, 4, 4] and all(v[1] <= 3 for v in got.values())
+    names = [r[0] for r in df.select(short_hash("text")).collect()]
+    assert names[0] is None and len(set(names)) == 7 and all(len(n) == 6 for n in names[1:])
+    files = spark.createDataFrame([(1, "a\nb\n\nd", [("f", 2, 9), ("g", 3, 3), ("h", 9, 9)]), (2, None, None)], "id long, text string, symbols array<struct<name string, start_line int, end_line int>>")
+    assert rows(symbol_chunks(files, "id", "text", "symbols")) == [(1, 2, 4, "f")]
+    assert rows(around_matches(files, "id", "text", "^[bd]$", 1, 1)) == [(1, 2, "a\nb\n"), (1, 4, "\nd")]
+
+
+def test_names_in_all_lists(spark):
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "n string")
+    assert rows(joins.in_all(one("b", "a", "a"), [one("a", "b", "c"), one("b", "a")], "n", "other")) == [("a",), ("b",)]
+    assert rows(joins.in_all(one("b"), [one("a")], "n", "other")) == [("other",)]
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, v string")
+    v = spark.createDataFrame([(1, "n"), (3, "m"), (2, None)], "id long, v string")
+    assert rows(joins.overridden(df, v, "id", ["v"], "f")) == [(1, "n", True), (2, "y", True), (3, "m", True)]
