@@ -400,10 +400,9 @@ def topological_layers(spark, d):
     return graph.layers(edges(spark, d).where("src < dst").distinct(), nodes(spark, d))
 
 
-@query(""", e AS (SELECT DISTINCT src, dst FROM edges WHERE src % 7 = dst % 7 OR src < dst), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst),
-o AS (SELECT DISTINCT src AS node FROM c WHERE src = dst) SELECT node FROM o UNION SELECT c.dst FROM o JOIN c ON c.src = o.node""", "edges", recursive=True)
+@query(", w AS (SELECT p_partkey AS node, 0 AS k FROM part UNION SELECT e.dst, k + 1 FROM w JOIN edges e ON e.src = node WHERE k < (SELECT count(*) FROM part)) SELECT DISTINCT node FROM w WHERE k = (SELECT count(*) FROM part)", "edges", recursive=True)
 def cycle_nodes(spark, d):
-    """Nodes on or behind a cycle: those that no layer takes."""
+    """Nodes on or behind a cycle: those that no layer takes. (In SQL: those that a walk of as many edges as there are nodes leads to.)"""
     return graph.layers(edges(spark, d), nodes(spark, d)).where("layer IS NULL").select("node")
 
 
@@ -487,16 +486,13 @@ def calibration_samples(spark, d):
     return evaluate.pool_scores(evaluate.samples(f, t, ["file", "cwe"]))
 
 
-@query(SAMPLES + ", u AS (SELECT round(x, 2) AS x, sum(n) AS n, sum(hits) AS hits FROM s GROUP BY round(x, 2))" + PAV.replace("FROM s)", "FROM u)") + " SELECT x, round(y, 9) AS y FROM fit", "v")
+@query(SAMPLES + PAV + " SELECT x, round(y, 9) AS y FROM fit", "v")
 def calibration_fit(spark, d):
     f, t = labelled(spark, d)
     pooled = materialize(evaluate.pool_scores(evaluate.samples(f, t, ["file", "cwe"])), "scores")
     return evaluate.fitted(pooled).select("x", F.round("y", 9).alias("y"))
 
 
-SQL["calibration_fit"] = SQL["calibration_fit"].replace("GROUP BY round(x, 2))", "GROUP BY round(x, 2) HAVING round(x, 2) <> 0)")
-
-
 @query("SELECT ordinal, round(CASE WHEN score = 0 THEN 0 WHEN score <= 0.2 THEN 0.1 WHEN score >= 0.9 THEN 0.8 WHEN score <= 0.6 THEN 0.1 + (score - 0.2) / 0.4 * 0.4 ELSE 0.5 + (score - 0.6) / 0.3 * 0.3 END, 9) AS calibrated FROM v", "v")
 def calibration_apply(spark, d):
     return findings(spark, d, "score").select("ordinal", F.round(evaluate.interpolated(F.col("score"), [(0.2, 0.1), (0.6, 0.5), (0.9, 0.8)]), 9).alias("calibrated"))
@@ -645,7 +641,7 @@ def reach_reasons(spark, d):
     return rules.downgraded(f, busy, "file", T.is_test_path(F.col("file")), T.is_entry_path(F.col("file"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT w.file_id, w.window_no, count(*) AS n FROM (SELECT file_id, unnest(range(0, 6)) AS window_no FROM rec) w JOIN sym s ON s.file_id = w.file_id AND s.start_line <= w.window_no * 40 + 40 AND s.end_line >= w.window_no * 40 + 1 AND s.start_line <= s.end_line GROUP BY ALL", "rec sym")
+@query("SELECT w.file_id, w.window_no, count(*) AS n FROM (SELECT file_id, unnest(range(0, max(end_line) // 40 + 1)) AS window_no FROM sym WHERE start_line <= end_line GROUP BY file_id) w JOIN sym s ON s.file_id = w.file_id AND s.start_line <= w.window_no * 40 + 40 AND s.end_line >= w.window_no * 40 + 1 AND s.start_line <= s.end_line GROUP BY ALL", "rec sym")
 def symbols_in_windows(spark, d):
     """Symbols that overlap each of a file's windows of 40 lines."""
     rec = codegraph.records(table(spark, d, "file_asts", "file_id", "path", "imports", "symbols", "calls"))
