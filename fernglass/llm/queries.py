@@ -72,8 +72,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "entry_id")
 
 
-def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax_check(table(spark, sf_dir, "file_asts", "file_id", "path"), table(spark, sf_dir, "files", "file_id", "repo", "content"))
+def _syntax(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
+    return syntax_check(table(spark, sf_dir, "file_asts", "file_id", "path"), table(spark, sf_dir, "files", "file_id", "repo", "content"), places)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,11 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(_syntax(spark, sf_dir))
 
 
+def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid files by language and by what the places of their edits say."""
+    return _syntax(spark, sf_dir, True).where("edits > 0").groupBy("language", "kind").agg(F.count("*").alias("files"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
@@ -106,7 +111,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("probability >= 0.5 OR votes > 0").where("share >= 0.3").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_shown": p1_shown, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_shown": p1_shown, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_rates": p7_rates, "p7_kinds": p7_kinds, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p4_found": r"""
 WITH r AS (
