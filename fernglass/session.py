@@ -37,6 +37,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that is deleted when the driver's JVM ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(p)
+    system.deleteOnExit(p)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as a table in the shared folder and read it back: later stages do not depend on executors' disks.
 

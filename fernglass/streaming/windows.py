@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernglass.session import scratch_root
+from fernglass.session import scratch_path
 
 
 def usage_windows(calls: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -25,7 +23,7 @@ def collected_windows(windows: DataFrame, keys: list[str]) -> DataFrame:
     The state that is kept is bounded by the watermark, and nothing passes through the driver.
     """
     spark = windows.sparkSession
-    path = f"{scratch_root(spark)}/windows-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "windows")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/rows")
