@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fernglass.llm import sketch
 from fernglass.llm.neardup import SLICE, as_similar, least_common_bits, signature_table
 from fernglass.llm.pages import read_ranges, read_rows, starts_and_ends, write_pages
-from fernglass.session import materialize, scratch_root
+from fernglass.session import materialize, scratch_path
 
 #: Bytes of a prefix; with the tree's number before them they fill a long.
 DEEPEST = 7
@@ -147,8 +147,8 @@ class PrefixForest:
 
     @classmethod
     def create(cls, spark: SparkSession, id_col: str, text_cols: Sequence[str], fingerprint: str | None = None, path: str | None = None, **parameters) -> PrefixForest:
-        """An empty forest in a folder that all executors share, by default a new one in the scratch folder."""
-        path = path or f"{scratch_root(spark)}/forest-{uuid.uuid4().hex}"
+        """An empty forest in a folder that all executors share, by default a new one in the scratch folder that goes with the session."""
+        path = path or scratch_path(spark, "forest")
         return cls(path, id_col, tuple(text_cols), fingerprint, **parameters)
 
     @classmethod
