@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.session import materialize
+from fernglass.session import counted, materialize
 
 
 def distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -14,14 +14,14 @@ def distances(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -
     A frontier is joined with the edges round by round and those already seen are taken off; each round is written to the
     shared folder. The seeds have distance 0. Cycles, loops and repeated edges do no harm.
     """
-    step = edges.select("src", "dst").distinct()
+    step = materialize(edges.select("src", "dst").distinct(), "step")  # read in every round
     seen = materialize(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("distance", F.lit(0)), "seen")
     frontier, hops = seen, 0
     while max_hops is None or hops < max_hops:
         hops += 1
         reached = step.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where("node IS NOT NULL").distinct()
-        frontier = materialize(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hops)), "frontier")
-        if not frontier.limit(1).count():
+        frontier, n = counted(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hops)), "frontier")
+        if not n:
             break
         seen = seen.union(frontier) if hops % 8 else materialize(seen.union(frontier), "seen")
     return seen
@@ -41,8 +41,8 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     live = materialize(edges.select("src", "dst").distinct(), "live")
     done, layer = None, 0
     while True:
-        free = materialize(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)), "layer")
-        if not free.limit(1).count():
+        free, n = counted(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)), "layer")
+        if not n:
             break
         done = free if done is None else done.union(free)
         layer += 1
@@ -57,7 +57,7 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def bounded_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(path array, hops): the simple paths of one to depth edges from the seeds. Their number may grow with degree ** depth."""
-    step = edges.select("src", "dst").distinct()
+    step = materialize(edges.select("src", "dst").distinct(), "step")
     paths = seeds.select(F.array("node").alias("path")).distinct()
     out = None
     for hops in range(1, depth + 1):
