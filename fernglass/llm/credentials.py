@@ -59,6 +59,8 @@ _COMMAND_WORDS = ("sshpass", "mysql", "mariadb", "7z", "redis-cli", "unzip", "do
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 _REFERENCE = re.compile(r"(?i)^(?:\$|%\w+%|\{\{|<|@|#\{|vault:|sm://|ssm:|ref\+|secret://|secrets?[:/]|kms:|env[:.]|file:|op://|arn:|keyring:|config:|https?://[^@]*$|/|\./)|\$\{|\{\{|process\.env|os\.environ|getenv")
+#: Base 64 that begins with a slash, no path: letters of either case and digits, with a sign or padding that paths lack.
+_SLASHED = re.compile(r"/(?=[^\n]*[0-9])(?=[^\n]*[a-z])(?=[^\n]*[A-Z])(?:[A-Za-z0-9/]*\+[A-Za-z0-9+/]*={0,2}|[A-Za-z0-9+/]*=)")
 _HOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|#+|0+|1+|\?+)$|your[-_ ]|replace|change[-_ ]?me|changeit|todo|fixme|example|placeholder|dummy|sample|redacted|set[-_]in|insert[-_ ]|put[-_ ]|to[-_]be|n/?a$|none$|null$|undefined|hidden|masked|(?:1234567|abcdef|qwerty)")
 _WORDS = re.compile(r"(?:[a-z]+_)*[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,3}|(?:[a-z]+\.)+[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,3}|[A-Z]?[a-z]*(?:[-_. ][A-Z]?[a-z]+)*|[A-Z_\-]+|[a-z_]+\.[a-z_.]+")
 _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|blake2b?|sha)[-:]|^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
@@ -66,7 +68,7 @@ _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|blake2b?|sha)[-:]|^[0-9a-f]{8}-(?:[0-9
 
 def plausible(value: str, least: int = 8) -> bool:
     """Whether a literal can be a secret: long, without blanks, no reference, placeholder, digest, id or plain words."""
-    if len(value) < least or re.search(r"\s", value) or _REFERENCE.search(value) or _HOLDER.search(value) or _DIGEST.search(value):
+    if len(value) < least or re.search(r"\s", value) or _REFERENCE.search(value) and not _SLASHED.fullmatch(value) or _HOLDER.search(value) or _DIGEST.search(value):
         return False
     if len(set(value)) < 5 or _WORDS.fullmatch(value):
         return False
