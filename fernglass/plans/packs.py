@@ -41,17 +41,17 @@ def pack_overflow(spark, d):
     return t.select("chunk_id", "tokens", packs.overflows(F.col("tokens"), 8000 * 50).alias("overflow"))
 
 
-@query("SELECT f.chunk_id, f.ordinal FROM frag f JOIN (SELECT chunk_id, min(ordinal) AS o FROM frag GROUP BY chunk_id) m USING (chunk_id) JOIN frag c ON c.ordinal = m.o AND c.chunk_id = f.chunk_id WHERE NOT (f.file_id = c.file_id AND f.start_line <= c.end_line AND f.end_line >= c.start_line)", "frag")
+@query("SELECT f.chunk_id, f.ordinal FROM frag f JOIN (SELECT chunk_id, unnest(min({'o': ordinal, 'file_id': file_id, 'start_line': start_line, 'end_line': end_line})) FROM frag GROUP BY chunk_id) c USING (chunk_id) WHERE NOT (f.file_id = c.file_id AND f.start_line <= c.end_line AND f.end_line >= c.start_line)", "frag")
 def fragments_outside(spark, d):
     f = materialize(fragments(spark, d).select("chunk_id", "ordinal", "file_id", "start_line", "end_line"), "fragments")
-    c = f.groupBy("chunk_id").agg(F.min_by(F.struct("file_id", "start_line", "end_line"), "ordinal").alias("c")).select("chunk_id", "c.*")
+    c = f.groupBy("chunk_id").agg(F.min(F.struct("ordinal", "file_id", "start_line", "end_line")).alias("c")).select("chunk_id", "c.*")
     return packs.outside(f, c, "chunk_id").select("chunk_id", "ordinal")
 
 
-@query(f"SELECT chunk_id, sha256(string_agg('// ' || k || ' ' || ordinal, chr(10) ORDER BY p, priority, ordinal)) AS text FROM (SELECT *, {list(packs.KINDS)}[CAST((ordinal // 10) % 7 AS INT) + 1] AS k, CAST((ordinal // 10) % 7 AS INT) + 1 AS p FROM frag WHERE priority <= 2) GROUP BY chunk_id", "frag")
+@query(f"SELECT chunk_id, sha256(string_agg('// ' || k || ' ' || ordinal, chr(10) ORDER BY p, priority, ordinal)) AS text FROM (SELECT *, {list(packs.KINDS)}[CAST((ordinal // 10) % 7 AS INT) + 1] AS k, CAST((ordinal // 10) % 7 AS INT) + 1 AS p FROM frag) GROUP BY chunk_id", "frag")
 def rendered_packs(spark, d):
     kind = F.element_at(F.array(*(F.lit(k) for k in packs.KINDS)), (F.floor(F.col("ordinal") / 10) % 7).cast("int") + 1)
-    f = fragments(spark, d).where("priority <= 2").withColumn("kind", kind)
+    f = fragments(spark, d).withColumn("kind", kind)
     got = packs.rendered(f, "chunk_id", "kind", ["priority", "ordinal"], F.concat(F.lit("// "), F.col("kind"), F.lit(" "), F.col("ordinal").cast("string")))
     return got.select("chunk_id", F.sha2("text", 256).alias("text"))
 
@@ -66,15 +66,17 @@ def corpus_within_bytes(spark, d):
 _G = lambda t: f"list_distinct(flatten(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9_]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: CASE WHEN length(w) < 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) END)))"
 
 
-@query(f"""SELECT query, id, round(x / (n + m - x)::DOUBLE, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x / (n + m - x)::DOUBLE DESC, id) AS rank FROM (SELECT q.doc_id AS query, c.doc_id AS id, count(*) AS x, any_value(q.n) AS n, any_value(c.n) AS m FROM (SELECT doc_id, lang, len(g) AS n, unnest(g) AS w FROM (SELECT doc_id, lang, {_G('text')} AS g FROM documents WHERE doc_id % 100 = 0)) q
-JOIN (SELECT doc_id, lang, len(g) AS n, unnest(g) AS w FROM (SELECT doc_id, lang, {_G('text')} AS g FROM documents WHERE source IN (SELECT min(source) FROM documents))) c ON c.w = q.w AND (coalesce(q.lang, '') = '' OR coalesce(c.lang, '') = '' OR lower(q.lang) = lower(c.lang)) GROUP BY ALL)) WHERE rank <= 3""")
+_SPOKEN = "CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'DE' ELSE '' END"
+
+
+@query(f"""SELECT query, id, round(x / (n + m - x)::DOUBLE, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x / (n + m - x)::DOUBLE DESC, id) AS rank FROM (SELECT q.doc_id AS query, c.item_id AS id, count(*) AS x, any_value(q.n) AS n, any_value(c.n) AS m FROM (SELECT doc_id, lang, len(g) AS n, unnest(g) AS w FROM (SELECT doc_id, lang, {_G('text')} AS g FROM documents WHERE doc_id % 100 = 0)) q
+JOIN (SELECT item_id, lang, len(g) AS n, unnest(g) AS w FROM (SELECT item_id, {_SPOKEN} AS lang, {_G('text')} AS g FROM eval_items)) c ON c.w = q.w AND (coalesce(q.lang, '') = '' OR c.lang = '' OR lower(q.lang) = lower(c.lang)) GROUP BY ALL)) WHERE rank <= 3""")
 def few_shot_topk(spark, d):
     """Examples of the query's language (or of none) that share most of its 3-grams, as examples are picked for a prompt."""
-    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
-    least = docs.agg(F.min("source").alias("s"))
-    corpus = docs.join(F.broadcast(least), F.col("source") == F.col("s"))
-    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q_id"), F.col("text").alias("q_text"), F.col("lang").alias("q_lang"))
-    got = retrieval.shingle_topk(corpus, q, 3, "doc_id", "text", "q_id", "q_text", language="lang", query_language="q_lang")
+    spoken = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "DE").otherwise("")
+    bank = table(spark, d, "eval_items", "item_id", "text").withColumn("lang", spoken)
+    q = table(spark, d, "documents", "doc_id", "text", "lang").where("doc_id % 100 = 0").select(F.col("doc_id").alias("q_id"), F.col("text").alias("q_text"), F.col("lang").alias("q_lang"))
+    got = retrieval.shingle_topk(bank, q, 3, "item_id", "text", "q_id", "q_text", language="lang", query_language="q_lang")
     return got.select("query", "id", F.round("score", 9).alias("score"), "rank")
 
 

@@ -119,9 +119,9 @@ def confidence_changes(spark, d):
 
 
 @query("""SELECT ordinal, CASE WHEN gd OR sz <> '' THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE severity END ELSE severity END AS severity, CASE WHEN (gd OR sz <> '') AND (lower(confidence) = 'high' OR confidence = '') THEN 'medium' ELSE confidence END AS confidence,
-array_to_string(list_concat(coalesce(tags, []), list_filter(list_concat(CASE WHEN gd THEN ['taint-guarded', 'guard:early_return'] ELSE [] END, CASE WHEN sz <> '' THEN ['sanitizer:' || sz] ELSE [] END), lambda x: NOT list_contains(coalesce(tags, []), x))), ',') AS tags FROM (SELECT *, ordinal % 3 = 0 AS gd, CASE WHEN ordinal % 5 = 0 THEN 'san-1' ELSE '' END AS sz FROM gt WHERE coalesce(len(tags), 0) = coalesce(len(list_distinct(tags)), 0))""", "gt")
+array_to_string(list_filter(tg, lambda x, i: list_position(tg, x) = i), ',') AS tags FROM (SELECT *, list_concat(coalesce(tags, []), list_concat(CASE WHEN gd THEN ['taint-guarded', 'guard:early_return'] ELSE [] END, CASE WHEN sz <> '' THEN ['sanitizer:' || sz] ELSE [] END)) AS tg FROM (SELECT *, ordinal % 3 = 0 AS gd, CASE WHEN ordinal % 5 = 0 THEN 'san-1' ELSE '' END AS sz FROM gt))""", "gt")
 def guard_downgrade(spark, d):
-    f = findings(spark, d, "severity", "confidence", "tags").where(F.coalesce(F.size("tags"), F.lit(0)) == F.coalesce(F.size(F.array_distinct("tags")), F.lit(0)))
+    f = findings(spark, d, "severity", "confidence", "tags")
     new = W.guarded(F.col("severity"), F.col("confidence"), F.col("tags"), F.col("ordinal") % 3 == 0, F.lit("early_return"), F.when(F.col("ordinal") % 5 == 0, "san-1").otherwise(""))
     return f.select("ordinal", "severity", "confidence", "tags").select("ordinal", new["severity"].alias("severity"), new["confidence"].alias("confidence"), F.array_join(new["tags"], ",").alias("tags"))
 
@@ -135,12 +135,13 @@ def path_confidence(spark, d):
     return f.select("ordinal", F.round(W.path_confidence(F.col("ordinal") % 19, F.col("ordinal") % 3, F.col("ordinal") % 2 == 0), 9).alias("confidence"))
 
 
-@query("""SELECT ordinal, greatest(coalesce(len(trace), 0), h) AS hops, round(CASE WHEN score > 0 THEN least(0.99, score + 0.05) ELSE 0.8 END, 9)::DOUBLE AS score FROM (SELECT *, CAST(ordinal % 5 AS INT) AS h FROM gt) WHERE h >= 2""", "gt")
+@query("""SELECT ordinal, CASE WHEN h >= 2 THEN greatest(coalesce(len(trace), 0), h) ELSE coalesce(len(trace), 0) END AS hops, round(CASE WHEN h < 2 THEN score WHEN score > 0 THEN least(0.99, score + 0.05) ELSE 0.8 END, 9)::DOUBLE AS score FROM (SELECT *, CAST(ordinal % 5 AS INT) AS h FROM gt)""", "gt")
 def path_attached(spark, d):
     """A path found for a finding: the longer of path and trace stays, the score rises a little."""
-    f = findings(spark, d, "trace", "score").withColumn("h", (F.col("ordinal") % 5).cast("int")).where("h >= 2")
-    score = F.when(F.col("score") > 0, F.least(F.lit(0.99), F.col("score") + 0.05)).otherwise(0.8)
-    return f.select("ordinal", F.greatest(F.coalesce(F.size("trace"), F.lit(0)), "h").alias("hops"), F.round(score, 9).alias("score"))
+    f = findings(spark, d, "trace", "score").withColumn("h", (F.col("ordinal") % 5).cast("int"))
+    size = F.coalesce(F.size("trace"), F.lit(0))
+    score = F.when(F.col("h") < 2, F.col("score")).when(F.col("score") > 0, F.least(F.lit(0.99), F.col("score") + 0.05)).otherwise(0.8)
+    return f.select("ordinal", F.when(F.col("h") >= 2, F.greatest(size, "h")).otherwise(size).alias("hops"), F.round(score, 9).alias("score"))
 
 
 @query("""SELECT ordinal, CASE WHEN lower(trim(severity)) IN ('critical', 'high', 'medium', 'low', 'info') THEN lower(trim(severity)) WHEN lower(trim(severity)) = 'informational' THEN 'info' ELSE '' END AS severity,
@@ -160,10 +161,10 @@ def rebased_findings(spark, d):
     return f.select("ordinal", F.when(F.col("id") == "", F.concat_ws("-", "agent", F.col("start_line").cast("string"), F.col("ordinal").cast("string"))).otherwise(F.col("id")).alias("id"), (F.col("start_line") + off).alias("start_line"), (F.col("end_line") + off).alias("end_line"), fill("severity"), fill("confidence"))
 
 
-@query("SELECT t AS threshold, coalesce(bool_or(NOT false_positive AND CASE lower(severity) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END >= k), false) AS fails FROM gt, (VALUES ('info', 1), ('low', 2), ('medium', 3), ('high', 4), ('critical', 5)) x(t, k) WHERE file LIKE 'a%' GROUP BY t", "gt")
+@query("SELECT t AS threshold, coalesce((SELECT max(CASE lower(severity) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) FROM gt WHERE NOT false_positive), 0) >= k AS fails FROM (VALUES ('info', 1), ('low', 2), ('medium', 3), ('high', 4), ('critical', 5)) x(t, k)", "gt")
 def severity_gate(spark, d):
     """Whether findings of a severity or above are left, for each threshold: one pass, one maximum."""
-    f = findings(spark, d, "file", "severity", "false_positive").where(F.col("file").startswith("a"))
+    f = findings(spark, d, "severity", "false_positive")
     top = f.agg(F.coalesce(F.max(F.when(~F.col("false_positive"), V.rank(F.lower("severity"), V.SEVERITIES))), F.lit(0)).alias("top"))
     steps = F.array(*(F.struct(F.lit(s).alias("threshold"), F.lit(len(V.SEVERITIES) - i).alias("k")) for i, s in enumerate(V.SEVERITIES)))
     return top.select("top", F.explode(steps).alias("s")).select("s.threshold", (F.col("top") >= F.col("s.k")).alias("fails"))
