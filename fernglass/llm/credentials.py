@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm.sketch import mix
-from fernglass.session import materialize
+from fernglass.session import counted, materialize
 
 #: Confirmed values are broadcast as one automaton up to this count; beyond, texts and values meet by a join on eight bytes.
 MAX_PATTERNS = 100_000
@@ -32,8 +32,10 @@ MAX_PATTERNS = 100_000
 MAX_OWNERS, OWNER_SHARE = 12, 0.02
 #: Of longer values the automaton holds the last TAIL characters, the rest is compared where those are found.
 TAIL = 64
-#: Bits of the filter that tells which eight bytes can end a confirmed value (beyond MAX_PATTERNS).
-FILTER_BITS = 26
+#: Bits (as powers of 2, least and most) of the filter that tells which eight bytes can be a confirmed value's (beyond MAX_PATTERNS).
+FILTER_BITS, MOST_BITS = 26, 28
+#: Bytes of texts whose runs of eight are tried at once.
+PART = 1 << 19
 
 _NOT_KEY = re.compile(r"(?i)(?:^|_)(?:pub|public|primary|foreign|sort|partition|cache|row|index|map|object|bucket|chunk|dict|lookup|group|host|idempotency|routing|shard)_?key$|(?:^|_)(?:next|page|csrf_field)_?token$")
 _STRING = r'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
@@ -301,50 +303,97 @@ def _scanned(batch: pa.RecordBatch, automata: Iterator[ahocorasick.Automaton]) -
     return pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, _RESULT)], schema=_RESULT)
 
 
-def _ends(text: str) -> np.ndarray:
-    """All runs of eight bytes of a text, as numbers."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    if len(raw) < 8:
-        return np.zeros(0, np.uint64)
-    code = np.zeros(len(raw) - 7, np.uint64)
-    for i in range(8):
-        code = (code << np.uint64(8)) | raw[i : len(raw) - 7 + i].astype(np.uint64)
-    return mix(code)
+def _anchor(pattern: str) -> bytes:
+    """The eight bytes of a pattern that it is looked up by: those of most different bytes, the last of them.
+
+    A key's last bytes may be the blanks before its closing line, which are in any text.
+    """
+    raw = pattern.encode()
+    at = max(range(len(raw) - 7), key=lambda i: (len(set(raw[i : i + 8])), i))
+    return raw[at : at + 8]
+
+
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """All runs of eight bytes, as numbers."""
+    raw = np.ascontiguousarray(raw)
+    return mix(np.ndarray(max(0, len(raw) - 7), "<u8", raw, strides=(1,)).astype(np.uint64))
+
+
+def _near(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a text, code), each once, of the runs of eight bytes of texts that pass the filter."""
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    mask = np.uint64(len(table) * 64 - 1)
+    passes = lambda c, bit: c[(table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+    rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for start in range(int(bounds[0]), int(bounds[-1]), PART):
+        code = _codes(raw[start : min(start + PART + 7, int(bounds[-1]))])
+        at = passes(np.arange(len(code)), code & mask) if len(code) else np.zeros(0, np.int64)
+        at = passes(at, (code[at] >> np.uint64(32)) & mask)
+        row = np.searchsorted(bounds, at + start, "right") - 1
+        inside = at + start + 8 <= bounds[row + 1]
+        rows.append(row[inside])
+        codes.append(code[at[inside]])
+    row, code = np.concatenate(rows), np.concatenate(codes)
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+    return row[first], code[first]
+
+
+def _filter(codes: DataFrame, n: int) -> np.ndarray:
+    """The bits of a filter of n codes, two a code, as words: 64 bits a code or 2^FILTER_BITS, 2^MOST_BITS at most."""
+    bits = min(MOST_BITS, max(FILTER_BITS, (64 * n).bit_length()))
+    bit = F.explode(F.array(F.col("code"), F.expr("shiftrightunsigned(code, 32)"))).alias("bit")
+    low = codes.select(bit).select(F.col("bit").bitwiseAND((1 << bits) - 1).alias("bit"))
+    words = low.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return table.view(np.uint64)
 
 
 def _joined(rows: DataFrame, sure: DataFrame) -> DataFrame:
-    """The re-scan for any number of confirmed values: texts and values meet by the eight bytes that a value ends with.
+    """The re-scan for any number of confirmed values: texts and values meet by eight bytes of a value (_anchor).
 
-    Every run of eight bytes of every text is tried against a filter of fixed size; those that pass are joined with the
-    values, and each text is searched for the values it may hold.
+    Every run of eight bytes of every text is tried against a filter; those that pass are joined with the values, by the
+    text's key alone. Of the texts themselves only those that may hold a value are moved to where its values are.
     """
+    context = rows.sparkSession.sparkContext
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.array([_ends(p)[-1] for p in batch.column(0).to_pylist()], np.uint64)
+            codes = _codes(np.frombuffer(b"".join(map(_anchor, batch.column(0).to_pylist())), np.uint8))[::8]
             yield pa.record_batch([*batch.columns, pa.array(codes.view(np.int64))], names=["pattern", "marks", "code"])
 
-    known = materialize(sure.mapInArrow(coded, "pattern string, marks array<int>, code long"), "known")
-    bit = F.col("code").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = known.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((code & {(1 << FILTER_BITS) - 1}) & 63 as int))")).alias("b")).collect()  # 2^FILTER_BITS bits at most
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words:
-        bits[r["w"]] = r["b"]
-    held = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    known, n = counted(sure.mapInArrow(coded, "pattern string, marks array<int>, code long"), "known")
+    held = context.broadcast(_filter(known.select("code"), n))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
         for batch in batches:
-            for i, text in enumerate(batch.column(2)):
-                code = np.unique(_ends(text.as_py()))
-                at = code & np.uint64((1 << FILTER_BITS) - 1)
-                code = code[(table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-                if len(code):
-                    yield pa.record_batch([pa.array([batch.column(0)[i].as_py()] * len(code), pa.string()), pa.array([batch.column(1)[i].as_py()] * len(code), pa.int64()), pa.array(code.view(np.int64))], names=["tbl", "row_id", "code"])
+            row, code = _near(batch.column(2), held.value)
+            at = pa.array(row)
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(code.view(np.int64))], names=["tbl", "row_id", "code"])
 
     pairs = rows.mapInArrow(near, "tbl string, row_id long, code long").join(known, "code")
-    wanted = pairs.groupBy("tbl", "row_id").agg(F.collect_set(F.struct("pattern", "marks")).alias("wanted"))  # of one text
-    hit = rows.join(wanted, ["tbl", "row_id"]).select("tbl", "row_id", "text", "wanted")
+    key = F.xxhash64("tbl", "row_id").alias("code")
+    wanted, found = counted(pairs.groupBy("tbl", "row_id").agg(F.collect_set(F.struct("pattern", "marks")).alias("wanted")), "wanted")  # of one text
+    hold = context.broadcast(_filter(wanted.select(key), found))
+
+    def may_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = hold.value
+        mask = np.uint64(len(table) * 64 - 1)
+        for batch in batches:
+            code = batch.column(3).to_numpy().view(np.uint64)
+            keep = np.ones(len(code), bool)
+            for bit in (code & mask, (code >> np.uint64(32)) & mask):
+                keep &= (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            yield batch.select([0, 1, 2]).filter(pa.array(keep))
+
+    some = rows.select("tbl", "row_id", "text", key).mapInArrow(may_hold, "tbl string, row_id long, text string")
+    of = wanted.select(F.col("tbl").alias("t"), F.col("row_id").alias("r"), "wanted")
+    hit = some.join(of, F.col("tbl").eqNullSafe(F.col("t")) & F.col("row_id").eqNullSafe(F.col("r"))).select("tbl", "row_id", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,8 +413,8 @@ def find_credentials(texts: DataFrame, max_owners: int = MAX_OWNERS, owner_share
     index = materialize(texts.select("owner", "text").mapInArrow(_index, "owner string, h long, pattern string, marks array<int>"), "literals")
     context = index.where("pattern IS NOT NULL")
     everybody = index.agg(F.countDistinct("owner").alias("n")).first()["n"]
-    counted = index.join(context.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.countDistinct("owner").alias("owners"))
-    good = counted.where(F.col("owners") <= max(max_owners, owner_share * everybody)).select("h")
+    owned = index.join(context.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.countDistinct("owner").alias("owners"))
+    good = owned.where(F.col("owners") <= max(max_owners, owner_share * everybody)).select("h")
     sure = materialize(context.join(good, "h", "left_semi").groupBy("pattern").agg(F.min("marks").alias("marks")), "sure")
     rows = texts.where("text IS NOT NULL").select("tbl", F.col("row_id").cast("long").alias("row_id"), "text")
     if sure.count() > MAX_PATTERNS:
