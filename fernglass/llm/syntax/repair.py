@@ -27,8 +27,6 @@ _LISTED = re.compile(r"(?<![^,])(?:-?[nsi],)+(?=-?[nsi],)")
 PIECE = 14
 #: What is learnt is forgotten beyond these counts, between two texts; characters for groups end at 16,384.
 MOST_SHAPES, MOST_PROFILES = 300_000, 12_000
-#: Braces that are a list of units are tried as anything else only without a semicolon, beyond this length without repair.
-SHORT = 24
 #: Characters from here on are line starts of Python, with the indentation.
 INDENT = 0xE0000
 _LINE = re.compile(f"[{chr(INDENT)}-{chr(INDENT + 0xFFFF)}]")
@@ -174,6 +172,23 @@ class Repairer:
             return 0.0
         if self.only_whether:
             return 1.0
+        return self._repaired(shape, rule)
+
+    def _repaired(self, shape: str, rule: str, most: float = BIG) -> float:
+        """The cost of an invalid shape; of a list that is longer than LONGEST or holds equal items in a row, of those items
+        that are not valid, each by itself.
+
+        Where more than most items fail, their number is enough to know.
+        """
+        items, short = shape.split(","), _collapsed(shape)
+        if len(items) > 2 and (len(short) > LONGEST or short != shape):
+            items = items if items[-1] else items[:-1]
+            failing = [x for x in items if not x or not self._valid(x, rule)]
+            if len(failing) > most:
+                return float(len(failing))
+            if failing and self._valid(",".join(x for x in items if x and self._valid(x, rule)), rule):
+                return sum(max(1.0, self.cost(x, rule)) if x else 1.0 for x in failing)
+            return max(float(len(failing)), float(self.vector(shape)[self.grammar.index[rule]]))  # equal items are one there
         return float(self.vector(shape)[self.grammar.index[rule]])
 
     def units(self, text: str, rule: str) -> float:
@@ -338,20 +353,17 @@ class Repairer:
                 costs = {r: self._list(text, r) for r in own}
         rest = [r for r in wanted if r not in costs]
         if rest:
-            bare = _collapsed(text.replace("\n", ""))
-            ends = bare.count(";")  # each would have to go if the content were no list of units
-            if bracket == "{" and costs and min(costs.values()) < ends:
-                costs.update(dict.fromkeys(rest, 9.0))
-            elif bracket == "{" and (costs and not min(costs.values()) and len(bare) > SHORT or len(bare) > LONGEST * 3):
-                valid = self.derived(self._essential(bare))
-                costs.update((r, 0.0 if self.grammar.index[r] in valid else 9.0) for r in rest)
+            bare = text.replace("\n", "")
+            ends = float(bare.count(";")) if bracket == "{" else 0.0  # each would have to go if the content were no list of units
+            if costs and min(costs.values()) < ends:
+                costs.update(dict.fromkeys(rest, ends))
             else:
-                fits = {r for r in rest if self.grammar.index[r] in (self.zero(bare) if bare else self.grammar.nullable)}
+                fits = {r for r in rest if self._valid(_collapsed(bare), r)}
                 if fits or 0 in costs.values():
                     costs.update((r, 0.0 if r in fits else 1.0) for r in rest)
                 else:
-                    v = self.vector(bare)
-                    costs.update((r, float(v[self.grammar.index[r]])) for r in rest)
+                    for r in rest:
+                        costs[r] = max(ends, self._repaired(bare, r, min(costs.values(), default=BIG)))
         # its own edits are counted here; around it it is what it fits best, and anything else at one edit more: so what
         # holds a broken part is not repaired again, and there are few kinds of groups, hence few shapes
         least = min(costs.values(), default=0.0)

@@ -72,3 +72,32 @@ def test_no_item_of_a_list_goes_unparsed(lang, text):
     r = Repairer(lang)
     assert r.repair(text)[0] > 0
     assert r.repair(text.replace("1, a", "a").replace(", 1", "").replace(", 's'", "").replace("; i; i; i", "; i; i").replace("; a = 1; a = 1; a = 1; a = 1", "; a = 1; a = 1"))[0] == 0
+
+
+FRAMES = [
+    ("js", "x = {%s};", "k%d: 1", "m%d: a.b(c)"), ("ts", "const x = {%s};", "k%d: 1", "m%d: a.b(c)"), ("py", "x = {%s}\n", "'k%d': 1", "a%d: b.c"),
+    ("go", "package a\nvar x = map[string]int{%s}\n", '"k%d": 1', "a%d: b.c(d)"), ("java", "class A { int[] x = {%s}; }", "%d", "a.b%d"),
+]
+
+
+@pytest.mark.parametrize("lang,frame,even,odd", FRAMES)
+def test_edits_do_not_depend_on_the_length_of_a_list(lang, frame, even, odd):
+    found = set()
+    for n in (4, 10, 24, 60, 120):
+        items = [(odd if i % 2 else even) % i for i in range(n)]
+        assert Repairer(lang).repair(frame % ", ".join(items))[0] == 0
+        items[2] += " 3 3"
+        one = Repairer(lang).repair(frame % ", ".join(items))[0]
+        items[0] += " 3"
+        found.add((one, Repairer(lang).repair(frame % ", ".join(items))[0]))
+    assert found == {(1, 2)}
+
+
+@pytest.mark.parametrize("n", [3, 8, 9, 10, 14])
+def test_edits_of_a_body_are_those_of_its_statements(n):
+    assert Repairer("js").repair("function f() { " + "a b; " * n + "c(); " * 9 + "}")[0] == n
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 20])
+def test_equal_items_are_edited_one_by_one(n):
+    assert Repairer("js").repair("x = {a: 1, " + "b: 3 3, " * n + "c: 2};")[0] == n
